@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, leaks, pieces, repeats
+from . import bpe, encoding, leaks, pieces, repeats
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    docs, spans = _t(spark, d, "pdf_documents"), _t(spark, d, "pdf_spans")
+    return encoding.damaged(encoding.records(docs, spans), encoding.accented_words([spans.select("text")]))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _damaged(spark, d).select("record_kind", "record_id").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _damaged(spark, d).dropDuplicates(["record_kind", "record_id"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(_t(spark, d, "chunks"), _t(spark, d, "chunk_limits"))
 
