@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, encoding, leaks, pieces, repeats
+from . import bpe, encoding, leaks, lookalike, pieces, repeats
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,21 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _canonical(spark: SparkSession, d: str, changed_only: bool) -> DataFrame:
+    spans, runs = _t(spark, d, "pdf_spans"), _t(spark, d, "text_runs")
+    words = lookalike.corpus_words(spans.select("text"), runs.select("text"))
+    accented = frozenset(w for w in words if not w.isascii())
+    return lookalike.normalised(lookalike.units(spans, runs), words, accented, changed_only)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d, True).select("unit_kind", "unit_id").distinct()
+
+
+def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d, False).dropDuplicates(["unit_kind", "unit_id"])
+
+
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
     docs, spans = _t(spark, d, "pdf_documents"), _t(spark, d, "pdf_spans")
     return encoding.damaged(encoding.records(docs, spans), encoding.accented_words([spans.select("text")]))
