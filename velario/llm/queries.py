@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, encoding, leaks, lookalike, pieces, repeats
+from . import bpe, encoding, leaks, lookalike, pieces, repeats, sentences
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,18 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return _damaged(spark, d).dropDuplicates(["record_kind", "record_id"])
 
 
+def _units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(sentences.inputs(_t(spark, d, "sentences"), _t(spark, d, "chunks")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).select("unit_kind", "unit_id", "char_start", "char_end").distinct()
+
+
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _units(spark, d).dropDuplicates(["unit_kind", "unit_id", "sent_no"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(_t(spark, d, "chunks"), _t(spark, d, "chunk_limits"))
 
