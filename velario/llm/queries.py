@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, encoding, leaks, lookalike, pieces, repeats, sentences
+from . import bpe, encoding, leaks, lookalike, parties, pieces, repeats, sentences
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,14 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(sentences.inputs(_t(spark, d, "sentences"), _t(spark, d, "chunks")))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return parties.pairs(_t(spark, d, "audit_parties")).distinct()
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return parties.linked(_t(spark, d, "audit_parties"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d).select("unit_kind", "unit_id", "char_start", "char_end").distinct()
 
