@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, encoding, leaks, lookalike, parties, pieces, repeats, sentences
+from . import bpe, encoding, leaks, lookalike, parties, pieces, repeats, scans, sentences
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,14 @@ def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _units(spark, d).dropDuplicates(["unit_kind", "unit_id", "sent_no"])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(_t(spark, d, "pdf_documents")).select("doc_id", "noise_kind").distinct()
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(_t(spark, d, "pdf_documents")).dropDuplicates(["doc_id"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(_t(spark, d, "chunks"), _t(spark, d, "chunk_limits"))
 
