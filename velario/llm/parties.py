@@ -33,6 +33,7 @@ KINDS = {
 KIND_WORDS = tuple(sorted(set(KINDS.values()) | {"clinica", "sanatorio", "hospital", "empresa", "consorcio", "sindicato", "obra", "estado", "comercial"}))
 FORM_WORDS = ("sociedad", "anonima", "limitada", "ltda", "soc", "resp", "responsabilidad")
 FORM = re.compile(r"\b(?:s\W{0,2}r\W{0,2}l|s\W{0,2}a\W{0,2}s|s\W{0,2}a|s\W{0,2}c|s\W{0,2}h|s\W{0,2}e)\b\.?|\bsoc\w*\.? (?:de )?resp\w*\.? (?:ltda|limitada)\b\.?|\bsociedad an\w+\b|\bltda\b\.?|\blimitada\b")
+STRONG_FORM = re.compile(r"\bs\W{0,2}r\W{0,2}l\b|\bltda\b|\blimitada\b|\bsociedad an|\bsoc\w*\.? (?:de )?resp")
 ENDING = re.compile(r"\by otr[oa]s?\b.*$|\be hij[oa]s?\b.*$")
 NICKNAMES = {
     "ale": "alejandra", "andy": "andres", "beto": "alberto", "bety": "beatriz", "betty": "beatriz", "bea": "beatriz", "ceci": "cecilia", "charo": "rosario", "chela": "graciela", "grace": "graciela",
@@ -126,7 +127,11 @@ def parse(name: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
     """(kind of organisation or "", tokens, tokens before a comma) of a name; tokens are folded, nicknames resolved."""
     raw = re.sub(r"\s+", " ", fold(name.replace("Ñ", "N").replace("ñ", "n"))).strip(" .,;:-")
     raw = ENDING.sub("", raw)
+    # two dotted letters may be initials of a person: they count as a legal form beside a kind of organisation or an acronym
+    some_kind = any(_kind_of(t) for t in re.findall(r"[^\W_]+", raw))
     bare = FORM.sub(" ", raw)
+    if not (some_kind or STRONG_FORM.search(raw) or re.fullmatch(r"\s*\w{2,5}\s*", bare)):
+        bare = raw
     legal = bare != raw
     head, comma, tail = bare.partition(",")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, encoding, leaks, lookalike, parties, pieces, repeats, scans, sentences
+from . import bpe, encoding, leaks, lookalike, parties, pieces, pii, repeats, scans, sentences
 from .common import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,18 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _canonical(spark, d, False).dropDuplicates(["unit_kind", "unit_id"])
 
 
+def _finds(spark: SparkSession, d: str) -> DataFrame:
+    return pii.finds(pii.documents(_t(spark, d, "pdf_documents"), _t(spark, d, "docx_documents")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _finds(spark, d).select("doc_kind", "doc_id", "pii_type", "char_start").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(pii.documents(_t(spark, d, "pdf_documents"), _t(spark, d, "docx_documents"))).dropDuplicates(["doc_kind", "doc_id"])
+
+
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
     docs, spans = _t(spark, d, "pdf_documents"), _t(spark, d, "pdf_spans")
     return encoding.damaged(encoding.records(docs, spans), encoding.accented_words([spans.select("text")]))
