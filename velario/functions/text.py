@@ -26,7 +26,7 @@ def squash(x: Column) -> Column:
 def find_all(text: Column, pattern: Column | str, group: int = 0, group2: int = 0) -> Column:
     """All matches in order with code-point offsets, from the lengths of what lies between them.
 
-    The pattern must not match the empty string. A null text has no matches.
+    The pattern must not match the empty string. A null text has no matches. A text without a match is scanned once only.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     text = F.coalesce(text, F.lit(""))
@@ -48,7 +48,7 @@ def find_all(text: Column, pattern: Column | str, group: int = 0, group2: int =
             F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["m"].alias("text"), x["a"].alias("group"), x["b"].alias("group2")))).alias("out"),
         )
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, p), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {MATCH})"))
 
 
 def quoted(x: Column) -> Column:

@@ -33,7 +33,8 @@ def cards(text: Column, spans: Column, zones: Column, context: int = CONTEXT) ->
 
 
 def explode_cards(docs: DataFrame, *keys: str, column: str = "cards") -> DataFrame:
-    return docs.select(*keys, F.explode(column).alias("c")).select(*keys, "c.*")
+    # explode_outer, then a filter on what comes out: a filter derived from explode would work the cards out twice
+    return docs.select(*keys, F.explode_outer(column).alias("c")).where("c is not null").select(*keys, "c.*")
 
 
 def prompt(card: Column) -> Column:

@@ -48,10 +48,10 @@ def fit(placeholder: Column, width: Column, size: Column, per_char: Column) -> C
     one too narrow is centred between dashes. ``per_char`` is the width of a character at size 1."""
     own = F.length(placeholder) * per_char
     least = F.greatest(F.lit(5.0), size * 0.45)
-    steps = F.ceil(F.greatest(size - width / own, F.lit(0.0)) / 0.5)
+    steps = F.ceil(F.greatest(size - F.try_divide(width, own), F.lit(0.0)) / 0.5)
     bound = F.ceil(F.greatest(size - least, F.lit(0.0)) / 0.5)
     smaller = size - F.least(F.greatest(steps, F.lit(1)), bound) * 0.5
-    n = F.floor((width - own * size) / (per_char * size)).cast("int")
+    n = F.floor(F.coalesce(F.try_divide(width - own * size, per_char * size), F.lit(0.0))).cast("int")
     left = F.floor(n / 2).cast("int")
     dashed = F.concat(F.repeat(F.lit("-"), left), placeholder, F.repeat(F.lit("-"), n - left))
     wide = own * size > width

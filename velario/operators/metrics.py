@@ -34,7 +34,7 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 
 def z_score(x: Column, mean: Column, deviation: Column) -> Column:
-    return F.when(deviation == 0, F.lit(0.0)).otherwise((x - mean) / deviation)
+    return F.when(deviation == 0, F.lit(0.0)).otherwise(F.try_divide(x - mean, deviation))
 
 
 def outliers(metrics: DataFrame, z: float = 2.0) -> DataFrame:
@@ -75,6 +75,6 @@ def tally(outcomes: DataFrame) -> DataFrame:
 def rates(n: Column, pages: Column, chars: Column) -> tuple[Column, Column]:
     """Replacements per page and per thousand characters, two digits; 0 without pages or characters."""
     return (
-        F.when(F.coalesce(pages, F.lit(0)) > 0, F.bround(n / pages, 2)).otherwise(F.lit(0.0)),
-        F.when(F.coalesce(chars, F.lit(0)) > 0, F.bround(n * 1000 / chars, 2)).otherwise(F.lit(0.0)),
+        F.when(F.coalesce(pages, F.lit(0)) > 0, F.bround(F.try_divide(n, pages), 2)).otherwise(F.lit(0.0)),
+        F.when(F.coalesce(chars, F.lit(0)) > 0, F.bround(F.try_divide(n * 1000, chars), 2)).otherwise(F.lit(0.0)),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from velario.functions.text import UNICODE_I, find_all, fold_accents, quoted, squash, title_case, words
+from velario.functions.text import UNICODE_I, find_all, fold_accents, squash, title_case, words
 from velario.operators.spans import no_spans, resolve_overlaps, span
 
 #: Legal forms without and with dots, and words that name organisations (fixed values).
@@ -68,6 +68,10 @@ def _readings(n: Column) -> Column:
     return F.when(F.contains(n, F.lit(",")), F.array(last)).when(F.element_at(ws, 1) == F.element_at(ws, -1), F.array(first)).otherwise(F.array(first, last))
 
 
+def _with_forms(short: str, dotted: str):
+    return lambda base: F.array(F.concat(base, F.lit(f" {short}")), F.concat(base, F.lit(f" {dotted}")))
+
+
 def variants(name: Column) -> Column:
     """Full forms of a name in a stable order, never a surname alone: parts in both orders, short given names, three styles of
     capitals, forms without accents; for a company both spellings of its legal form."""
@@ -79,7 +83,7 @@ def variants(name: Column) -> Column:
     for short, dotted in reversed(FORMS):
         for form in (short, dotted):
             base = F.regexp_replace(F.substring(n, F.lit(1), F.length(n) - len(form)), r"[ ,.;]+$", "")
-            forms = F.flatten(F.transform(styles(base), lambda b, s=short, d=dotted: F.array(F.concat(b, F.lit(f" {s}")), F.concat(b, F.lit(f" {d}")))))
+            forms = F.flatten(F.transform(styles(base), _with_forms(short, dotted)))
             company = F.when(upper.rlike(r"(?:^|[ ,.;])" + form.replace(".", r"\.") + "$") & (base != ""), forms).otherwise(company)
     # person
     comma = F.contains(n, F.lit(","))
@@ -154,13 +158,13 @@ def longer_forms(name: Column, text: Column) -> Column:
 
 
 def name_spans(text: Column, forms: Column, placeholder: Column | None = None, party: Column | None = None, role: Column | None = None) -> Column:
-    """Disjoint occurrences of any of the forms, literal or flexible; of overlapping ones the longer stays."""
-
-    def of(v: Column) -> Column:
-        return F.concat(find_all(text, F.concat(F.lit("(?U)"), quoted(v))), find_all(text, flexible(v)))
+    """Disjoint occurrences of any of the forms; of overlapping ones the longer stays."""
 
+    # the pattern of a form also matches the form itself, and forms that differ in capitals or accents share one pattern
     usable = F.filter(forms, lambda v: F.length(v) >= 4)
-    hits = F.array_distinct(F.transform(F.flatten(F.transform(usable, of)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))))
+    patterns = F.array_distinct(F.transform(usable, lambda v: flexible(F.lower(fold_accents(v)))))
+    found = F.flatten(F.transform(patterns, lambda p: find_all(text, p)))
+    hits = F.array_distinct(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))))
     extra = {k: v for k, v in (("placeholder", placeholder), ("party_name", party), ("party_rol", role)) if v is not None}
     made = F.transform(hits, lambda m: span(start=m["start"], end=m["end"], text=m["text"], type=F.lit("PER"), source=F.lit("text_search"), confidence=F.lit(0.99), **extra))
     return F.when(F.coalesce(text, F.lit("")) == "", no_spans()).otherwise(resolve_overlaps(made, by_priority=False))
@@ -170,15 +174,24 @@ def collapse_doubles(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)([bcdfghjklmnpqrstvwxz])\1", "$1")
 
 
-def corrected(name: Column, text: Column) -> Column:
+def prepared(text: Column) -> Column:
+    """What names are checked against, worked out once for a text: its plain, small and accent-free forms and the keys of its words."""
+    t = squash(text)
+    have = F.filter(F.regexp_extract_all(t, F.lit("[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    pairs = F.transform(F.array_distinct(have), lambda w: F.struct(_key(w).alias("k"), w.alias("w")))
+    return F.struct(t.alias("plain"), F.lower(t).alias("low"), fold_accents(F.lower(t)).alias("flat"), pairs.alias("words"))
+
+
+def _key(word: Column) -> Column:
+    return collapse_doubles(fold_accents(F.lower(word)))
+
+
+def corrected(name: Column, ready: Column) -> Column:
     """The name with words respelled as the text has them where only doubled consonants and accents differ; null if none differs."""
-    key = lambda w: collapse_doubles(fold_accents(F.lower(w)))
-    have = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-zÁÉÍÓÚÜÑáéíóúüñ]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    pairs = F.transform(have, lambda w: F.struct(key(w).alias("k"), w.alias("w")))
 
     def fixed(w: Column) -> Column:
-        first = F.try_element_at(F.filter(pairs, lambda p: p["k"] == key(w)), F.lit(1))["w"]
-        return F.when(first.isNotNull() & (F.lower(first) != F.lower(w)), first).otherwise(w)
+        same = F.filter(ready["words"], lambda p: p["k"] == _key(w))
+        return F.transform(F.array(F.try_element_at(same, F.lit(1))["w"]), lambda first: F.when(first.isNotNull() & (F.lower(first) != F.lower(w)), first).otherwise(w))[0]
 
     def words_of(x: Column) -> Column:
         return F.array_join(F.transform(words(x), fixed), " ")
@@ -189,19 +202,16 @@ def corrected(name: Column, text: Column) -> Column:
     return F.when(out != same, out)
 
 
-def validated(name: Column, text: Column) -> Column:
+def validated(name: Column, ready: Column) -> Column:
     """The name as it may be used: unchanged if the text holds it in some order, case or without accents; respelled if only
-    doubled consonants differ; null if it is too short, a company, or not in the text."""
+    doubled consonants differ; null if it is too short, a company, or not in the text. ``ready`` is ``prepared(text)``."""
     n = squash(name)
-    t = squash(text)
     ws = words(n)
     inverted = F.concat_ws(" ", F.trim(F.regexp_replace(n, r"^[^,]*,", "")), F.trim(F.substring_index(n, ",", 1)))
     turns = F.array(F.concat_ws(" ", F.array_join(F.slice(ws, 2, F.size(ws)), " "), F.element_at(ws, 1)), F.concat_ws(" ", F.element_at(ws, -1), F.array_join(F.slice(ws, 1, F.size(ws) - 1), " ")))
     forms = F.when(F.contains(n, F.lit(",")), F.array(n, inverted)).when(F.size(ws) >= 2, F.concat(F.array(n), turns)).otherwise(F.array(n))
-    low = F.lower(t)
-    flat = fold_accents(low)
-    held = F.exists(forms, lambda c: F.contains(t, c) | F.contains(low, F.lower(c)) | F.contains(flat, fold_accents(F.lower(c))))
-    return F.when(name.isNull() | (F.length(name) < 3) | is_company(name), F.lit(None).cast("string")).when(held, name).otherwise(corrected(n, t))
+    held = F.exists(forms, lambda c: F.contains(ready["plain"], c) | F.contains(ready["low"], F.lower(c)) | F.contains(ready["flat"], fold_accents(F.lower(c))))
+    return F.when(name.isNull() | (F.length(name) < 3) | is_company(name), F.lit(None).cast("string")).when(held, name).otherwise(corrected(n, ready))
 
 
 def without_junk(name: Column) -> Column:

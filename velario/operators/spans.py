@@ -104,4 +104,4 @@ def apply_replacements(text: Column, replacements: Column) -> Column:
 
 def explode_spans(docs: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """One row for each span, with its place ``ord`` in the document."""
-    return docs.select(*keys, F.posexplode(spans).alias("ord", "s")).select(*keys, "ord", "s.*")
+    return docs.select(*keys, F.posexplode_outer(spans).alias("ord", "s")).where("s is not null").select(*keys, "ord", "s.*")

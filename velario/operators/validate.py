@@ -27,7 +27,7 @@ def identifier_leaks(output: Column, private: bool = True) -> Column:
 
 
 def length_ratio(source: Column, output: Column, low: float = RATIO[0], high: float = RATIO[1]) -> Column:
-    r = F.length(output) / F.length(source)
+    r = F.try_divide(F.length(output), F.length(source))
     bad = (F.length(source) > 0) & ((r < low) | (r > high))
     return F.when(bad, F.array(_issue("LENGTH_RATIO", F.format_string(f"length ratio %.3f outside {low}..{high}", r)))).otherwise(no_issues())
 
@@ -53,7 +53,8 @@ def passed(issues: Column) -> Column:
 
 
 def text_issues(source: Column, output: Column, expected: Column) -> Column:
-    return F.concat(identifier_leaks(output), length_ratio(source, output), missing_placeholders(output, expected))
+    found = F.concat(identifier_leaks(output), length_ratio(source, output), missing_placeholders(output, expected))
+    return F.when(source.isNotNull() & output.isNotNull(), found).otherwise(no_issues())
 
 
 def package_issues(source_parts: Column, output_parts: Column, source: Column, output: Column, expected: Column) -> Column:
@@ -64,4 +65,5 @@ def package_issues(source_parts: Column, output_parts: Column, source: Column, o
 
 def report(docs: DataFrame, issues: str = "issues") -> DataFrame:
     """doc_id, code, severity, message of every issue."""
-    return docs.select("doc_id", F.explode(issues).alias("i")).select("doc_id", "i.*")
+    # explode_outer: the optimiser would otherwise derive a filter from explode and work the issues out a second time for it
+    return docs.select("doc_id", F.explode_outer(issues).alias("i")).where("i is not null").select("doc_id", "i.*")

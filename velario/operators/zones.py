@@ -31,7 +31,8 @@ def no_zones() -> Column:
 def caption_end(text: Column, fallback: int) -> Column:
     """Where the caption ends: at the first heading of the body, else after ``fallback`` characters."""
     before = F.split(text, BODY, 2)
-    return F.when(F.size(before) > 1, F.length(before[0])).otherwise(F.least(F.lit(fallback), F.length(text)))
+    end = F.when(F.size(before) > 1, F.length(before[0])).otherwise(F.least(F.lit(fallback), F.length(text)))
+    return F.when(text.isNotNull(), end)  # least() passes over nulls
 
 
 def caption(text: Column) -> Column:

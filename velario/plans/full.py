@@ -32,7 +32,7 @@ def full(docs: DataFrame, said: DataFrame, policy: DataFrame, found: DataFrame |
     said: doc_id, batch_no, raw, error: the answers to ``predict.requests``. Per-document work stays in the row; cards leave it once for
     the join with the answers and the clustering, both on doc_id.
     """
-    d = detected(docs, found)
+    d = detected(docs, found).persist()  # read by the cards and by the replacement; kept in memory or on disk, made anew if lost
     rows = predict.classified(cards.explode_cards(d, "doc_id"), said, policy)
     clusters = coref.clusters(rows, policy)
     people = coref.replacements(rows, clusters).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("people"))
@@ -42,7 +42,7 @@ def full(docs: DataFrame, said: DataFrame, policy: DataFrame, found: DataFrame |
     d = d.withColumn("replacements", F.array_sort(F.concat(ids, F.coalesce("people", F.expr(f"cast(array() as {REPLACEMENTS})")))))
     d = d.withColumn("redacted", apply_replacements(F.col("text"), F.col("replacements")))
     expected = F.array_distinct(F.transform("replacements", lambda r: r["replacement"]))
-    d = d.withColumn("issues", F.when(F.col("text").isNotNull(), validate.text_issues(F.col("text"), F.col("redacted"), expected)).otherwise(validate.no_issues()))
+    d = d.withColumn("issues", validate.text_issues(F.col("text"), F.col("redacted"), expected))
     return d.select(
         "doc_id", F.size("spans").cast("bigint").alias("n_spans"), F.size("cards").cast("bigint").alias("n_cards"), F.coalesce("n_clusters", F.lit(0)).cast("bigint").alias("n_clusters"), "replacements", "redacted", "issues",
         validate.passed(F.col("issues")).alias("success"),

@@ -16,17 +16,24 @@ PARTY = "array<struct<nombre:string,rol:string,from_caratula:boolean>>"
 LONG_TEXT = 500
 
 
-def merge_parties(text: Column, said: Column) -> Column:
-    """Valid predicted parties, then caption parties that are no company and not named yet (case aside), each once."""
-    valid = F.filter(F.transform(said, lambda p: F.struct(names.validated(p["nombre"], text).alias("nombre"), p["rol"].alias("rol"), F.lit(False).alias("from_caratula"))), lambda p: p["nombre"].isNotNull())
-    lower = F.transform(valid, lambda p: F.lower(p["nombre"]))
+def with_parties(docs: DataFrame) -> DataFrame:
+    """``parties``: valid predicted parties, then caption parties that are no company and not named yet (case aside), each once.
+
+    Each step is a column of its own: what a lambda would otherwise work out anew for every element is worked out once for a row.
+    """
+    d = docs.withColumn("_ready", names.prepared(F.col("text"))).withColumn("_caption", caption.caption_spans(F.col("text")))
+    checked = F.transform("said", lambda p: F.struct(names.validated(p["nombre"], F.col("_ready")).alias("nombre"), p["rol"].alias("rol"), F.lit(False).alias("from_caratula")))
+    d = d.withColumn("_valid", F.filter(checked, lambda p: p["nombre"].isNotNull()))
+    d = d.withColumn("_known", F.transform("_valid", lambda p: F.lower(p["nombre"])))
     found = F.transform(
-        caption.caption_spans(text),
+        "_caption",
         lambda s, i: F.struct(F.trim(s["text"]).alias("nombre"), F.when(s["role_hint"] == "PARTE_ACTORA", "actor").otherwise("demandado").alias("rol"), F.lit(True).alias("from_caratula"), i.alias("i")),
     )
-    fresh = F.filter(found, lambda p: ~names.is_company(p["nombre"]) & ~F.array_contains(lower, F.lower(p["nombre"])))
-    once = F.filter(fresh, lambda p: ~F.exists(fresh, lambda q: (F.lower(q["nombre"]) == F.lower(p["nombre"])) & (q["i"] < p["i"])))
-    return F.concat(valid, F.transform(once, lambda p: F.struct(p["nombre"].alias("nombre"), p["rol"].alias("rol"), p["from_caratula"].alias("from_caratula"))))
+    d = d.withColumn("_fresh", F.filter(found, lambda p: ~names.is_company(p["nombre"]) & ~F.array_contains("_known", F.lower(p["nombre"]))))
+    once = F.filter("_fresh", lambda p: ~F.exists("_fresh", lambda q: (F.lower(q["nombre"]) == F.lower(p["nombre"])) & (q["i"] < p["i"])))
+    new = F.transform(once, lambda p: F.struct(p["nombre"].alias("nombre"), p["rol"].alias("rol"), p["from_caratula"].alias("from_caratula")))
+    d = d.withColumn("parties", F.coalesce(F.concat("_valid", new), F.expr(f"cast(array() as {PARTY})")))
+    return d.drop("_ready", "_caption", "_valid", "_known", "_fresh")
 
 
 def party_spans(text: Column, parties: Column) -> Column:
@@ -50,7 +57,7 @@ def lite(docs: DataFrame, said: DataFrame, safe: bool = False) -> DataFrame:
     )
     d = docs.join(parties, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<nombre:string,rol:string>>)")
-    d = d.withColumn("parties", F.coalesce(merge_parties(F.col("text"), F.coalesce("said", none)), F.expr(f"cast(array() as {PARTY})")))
+    d = with_parties(d.withColumn("said", F.coalesce("said", none)))
     d = d.withColumn("regex_spans", identifiers.identifiers(F.col("text"))).withColumn("name_spans", party_spans(F.col("text"), F.col("parties")))
     d = d.withColumn("spans", resolve_overlaps(F.concat("regex_spans", "name_spans")))
     ids = numbered(F.filter("spans", lambda s: s["source"] == "regex"))
@@ -77,4 +84,4 @@ def checked(audit: DataFrame, docs: DataFrame) -> DataFrame:
     """The issues of every output against its source."""
     j = audit.select("doc_id", "replacements", "redacted").join(docs.select("doc_id", "text"), "doc_id")
     expected = F.array_distinct(F.transform("replacements", lambda r: r["replacement"]))
-    return validate.report(j.where("redacted is not null").withColumn("issues", validate.text_issues(F.col("text"), F.col("redacted"), expected)))
+    return validate.report(j.withColumn("issues", validate.text_issues(F.col("text"), F.col("redacted"), expected)))

@@ -13,18 +13,19 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def once(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row for each key: the latest delivery by ``order``, any of equal rows without it.
 
-    Without an order this is an aggregation that combines before its shuffle; with one, a window on the key.
+    Without an order this is an aggregation that combines before its shuffle; with one, a window on the key, over partitions at least
+    as many as the cores, since what follows is work on the texts.
     """
     if not order:
         return df.dropDuplicates([key])
     w = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, format, docket, path, text, page_count of all PDF and DOCX documents."""
-    pdf = once(read(spark, folder, "pdf_documents").select("doc_id", "docket", "path", "full_text", "page_count", "loaded_at"), "doc_id", "loaded_at")
-    docx = once(read(spark, folder, "docx_documents").select("doc_id", "docket", "path", "full_text", "loaded_at"), "doc_id", "loaded_at")
-    a = pdf.select("doc_id", F.lit("pdf").alias("format"), "docket", "path", F.col("full_text").alias("text"), "page_count")
-    b = docx.select("doc_id", F.lit("docx").alias("format"), "docket", "path", F.col("full_text").alias("text"), F.lit(0).alias("page_count"))
-    return a.unionAll(b)
+    pdf = read(spark, folder, "pdf_documents").select("doc_id", F.lit("pdf").alias("format"), "docket", "path", F.col("full_text").alias("text"), "page_count", "loaded_at")
+    docx = read(spark, folder, "docx_documents").select("doc_id", F.lit("docx").alias("format"), "docket", "path", F.col("full_text").alias("text"), F.lit(0).alias("page_count"), "loaded_at")
+    return once(pdf.unionAll(docx), "doc_id", "loaded_at").drop("loaded_at")
