@@ -44,7 +44,7 @@ def _spans(s: SparkSession, d: str, of: Callable[[Column], Column], *extra: str)
 
 
 def latest_documents(s, d):
-    return _docs(s, d).select("doc_id", "format", "path", F.length("text").cast("bigint").alias("n_chars"), F.col("page_count").cast("bigint").alias("page_count"))
+    return _docs(s, d).select("doc_id", "format", "path", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), F.col("page_count").cast("bigint").alias("page_count"))
 
 
 def dni_spans(s, d):

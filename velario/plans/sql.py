@@ -91,7 +91,7 @@ nb AS (SELECT *, '[EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY f1
 red AS (SELECT nb.doc_id, string_agg(ps[nb.i] || ph, '' ORDER BY nb.i) || any_value(ps[len(ps)]) AS redacted FROM nb JOIN pieces p ON nb.doc_id = p.doc_id AND nb.i = p.i GROUP BY nb.doc_id),
 er AS (SELECT doc_id, text, coalesce(redacted, text) AS redacted FROM docs LEFT JOIN red USING (doc_id))"""
     return {
-        "latest_documents": f"WITH {DOCS} SELECT doc_id, format, path, length(text) AS n_chars, CAST(page_count AS BIGINT) AS page_count FROM docs",
+        "latest_documents": f"WITH {DOCS} SELECT doc_id, format, path, coalesce(length(text), 0) AS n_chars, CAST(page_count AS BIGINT) AS page_count FROM docs",
         "dni_spans": f"""WITH {DOCS}, {found(DNI, 1)} SELECT doc_id, CAST(s + length(m) - length(g) AS INT) AS char_start, CAST(s + length(m) AS INT) AS char_end, g AS text, replace(g, '.', '') AS normalized
 FROM f WHERE regexp_full_match(replace(g, '.', ''), '[0-9]{{7,8}}') AND CAST(replace(g, '.', '') AS BIGINT) BETWEEN 1000000 AND 99999999""",
         "cuit_spans": f"""WITH {DOCS}, {found(rf"\b{D}{{2}}(?:-|{S})?{D}{{8}}(?:-|{S})?{D}\b")}, x AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM f), y AS (SELECT *, 11 - ({CUIT}) % 11 AS c FROM x WHERE length(n) = 11)

@@ -22,9 +22,9 @@ replacements_per_kchar double, timings map<string, double>, _corrupt_record stri
 
 def audits(spark: SparkSession, path: str) -> DataFrame:
     """stem and the fields of every *_audit.json of a folder; files that are no JSON are left out, missing fields are null."""
-    rows = spark.read.schema(AUDIT).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*_audit.json").json(path)
-    rows = rows.withColumn("stem", F.regexp_replace(stem(F.input_file_name()), "_audit$", ""))
-    return rows.where("_corrupt_record is null").drop("_corrupt_record")
+    raw = spark.read.option("pathGlobFilter", "*_audit.json").text(path, wholetext=True).withColumn("stem", F.regexp_replace(stem(F.input_file_name()), "_audit$", ""))
+    rows = raw.select("stem", F.from_json("value", AUDIT, {"mode": "PERMISSIVE"}).alias("a"))
+    return rows.where("a is not null and a._corrupt_record is null").select("stem", "a.*").drop("_corrupt_record")
 
 
 def state(spark: SparkSession, path: str) -> DataFrame:
