@@ -11,6 +11,8 @@ import unicodedata
 
 from . import encoding, lookalike, scans
 
+#: Accented given names, for damage that only a known word can tell (fixed values).
+KNOWN = frozenset(x for w in "José Ángel Tomás Andrés Inés Héctor Néstor Raúl María Mónica Verónica Lucía Matías Julián Ramón".split() for x in (w, w.upper()))
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ�"
 STROKE = re.compile(rf"(?<=[{LETTER}])[|~`^](?=[{LETTER}])|(?<=[{LETTER}]{{2}})'(?=[{LETTER}])|(?<=[{LETTER}])'(?=[{LETTER}]{{3}})")
 GLYPH = re.compile(rf"(?<![\w@.])[{LETTER}]*(?:[0159!@8$][{LETTER}]+|[{LETTER}]+[0159!@8$])[{LETTER}]*(?![\w@/-])")
@@ -23,7 +25,7 @@ def view(text: str, pages: bool) -> tuple[str, list[int]]:
     chars, at = text, list(range(len(text)))
     if re.search(encoding.SUSPECT, text):
         for _ in range(3):
-            spans = [s for s in encoding.damage(chars) if s[2] is not None]
+            spans = [s for s in encoding.damage(chars, KNOWN) if s[2] is not None]
             if not spans:
                 break
             chars, at = _splice(chars, at, spans)

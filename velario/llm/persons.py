@@ -27,7 +27,7 @@ WORD = re.compile(rf"[{UP}{LOW}]+")
 STREETS = frozenset("calle pasaje avenida av avda bv bvd diagonal pje ruta camino bulevar".split())
 ORG = frozenset(KINDS) | frozenset(KIND_WORDS)
 #: Words of numbers, headings and formulas that no name holds (fixed values).
-NEVER = frozenset("cuil cuit cul le lc dni cbu cbus expte protocolicese registrese notifiquese anexo punto ii iii iv vi vii viii ix vistos considerando resuelvo".split())
+NEVER = frozenset("cuil cuit cul le lc dni cbu cbus expte protocolicese registrese notifiquese anexo punto ii iii iv vi vii viii ix vistos considerando resuelvo sala camara voto vocal copia traslado poder obligaciones primero segundo".split())
 FEW = 3
 
 
