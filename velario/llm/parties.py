@@ -224,13 +224,13 @@ def keys(folder: str, name: str) -> list[int]:
             continue
         for j, b in enumerate(codes):
             if i != j:
-                out.add(f"h{kind and 'o'}{a}|{tokens[j][0]}")
+                out |= {f"h{kind and 'o'}{a}|{x[0]}" for x in (tokens[j], *ALSO.get(tokens[j], ()))}
                 if len(a) > 4:
-                    out.add(f"m{kind and 'o'}{a[:2]}{a[-2:]}|{tokens[j][0]}")
+                    out |= {f"m{kind and 'o'}{a[:2]}{a[-2:]}|{tokens[j][0]}", f"n{kind and 'o'}{a[-5:]}|{tokens[j][0]}"}
                 if len(b) > 3:
                     out.add(f"t{kind and 'o'}{a}|{b[-3:]}")
     long = [c for c in codes if len(c) > 2]
-    for cut in (slice(0, 2), slice(-3, None)):
+    for cut in (slice(0, 3), slice(-3, None)):
         ends = sorted(c[cut] for c in long)
         out |= {f"p{x}|{y}" for k, x in enumerate(ends) for y in ends[k + 1 :]}
     if kind == "sigla":
