@@ -30,15 +30,28 @@ TRAIN_ROWS = 1500
 GATE, SPAM = 0.005, 0.5
 
 
+#: An order is put together from two smaller ones: order -> (first part, second part).
+WORD_PARTS = {2: (1, 1), 3: (2, 1), 5: (3, 2), 8: (5, 3)}
+CHAR_PARTS = {2: (1, 1), 3: (2, 1), 6: (3, 3), 12: (6, 6), 24: (12, 12)}
+MULTIPLIERS = multipliers(64, 11)
+
+
+def ladder(h: np.ndarray, parts: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+    """Hashes of the n-grams of every order, each from those of two smaller orders: two operations an order."""
+    out = {1: h}
+    for n, (a, b) in parts.items():
+        k = len(h) - n + 1
+        if k <= 0:
+            out[n] = np.empty(0, np.uint64)
+            continue
+        with np.errstate(over="ignore"):
+            total = out[a][:k] * MULTIPLIERS[n] + out[b][a : a + k] * MULTIPLIERS[n + 24]
+        out[n] = total ^ total >> np.uint64(31)
+    return out
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
-    k, m = len(h) - n + 1, multipliers(n, 11)
-    if k <= 0:
-        return np.empty(0, np.uint64)
-    with np.errstate(over="ignore"):
-        total = h[:k] * m[0]
-        for j in range(1, n):
-            total += h[j : j + k] * m[j]
-    return total ^ total >> np.uint64(31)
+    return ladder(h, WORD_PARTS)[n]
 
 
 def repeated_words(h: np.ndarray) -> int:
@@ -59,19 +72,17 @@ def features(h: np.ndarray, text: str) -> np.ndarray:
     x = np.zeros(DIMS, np.float32)
     x[0] = 1
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-    for kind, orders, source in (("w", WORD_ORDERS, h), ("c", CHAR_ORDERS, raw)):
+    for kind, orders, ladder_ in ((0, WORD_ORDERS, ladder(h, WORD_PARTS)), (7919, CHAR_ORDERS, ladder(raw, CHAR_PARTS))):
         for n in orders:
-            g = grams(source, n)
-            if not len(g):
+            g = np.sort(ladder_[n])
+            same = g[1:] == g[:-1]
+            if not same.any():
                 continue
-            g.sort()
-            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-            counts = np.diff(edge)
+            counts = np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True]))))
             rep = counts[counts > 1]
-            if len(rep):
-                bucket = (np.minimum(rep, 16) * 37 + n * 101 + (7919 if kind == "c" else 0)) % (DIMS - 1) + 1
-                np.add.at(x, bucket, (rep - 1).astype(np.float32) / len(g))
-                x[(n * 211 + (31 if kind == "c" else 17)) % (DIMS - 1) + 1] += (rep - 1).sum() / len(g)
+            bucket = (np.minimum(rep, 16) * 37 + n * 101 + kind) % (DIMS - 1) + 1
+            x += np.bincount(bucket, (rep - 1) / len(g), DIMS).astype(np.float32)
+            x[(n * 211 + (31 if kind else 17)) % (DIMS - 1) + 1] += (rep - 1).sum() / len(g)
     return x
 
 
