@@ -16,6 +16,10 @@ KNOWN = frozenset(x for w in "José Ángel Tomás Andrés Inés Héctor Néstor
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ�"
 STROKE = re.compile(rf"(?<=[{LETTER}])[|~`^](?=[{LETTER}])|(?<=[{LETTER}]{{2}})'(?=[{LETTER}])|(?<=[{LETTER}])'(?=[{LETTER}]{{3}})")
 GLYPH = re.compile(rf"(?<![\w@.])[{LETTER}]*(?:[0159!@8$][{LETTER}]+|[{LETTER}]+[0159!@8$])[{LETTER}]*(?![\w@/-])")
+#: A figure or sign beside a letter: where a misread word may be.
+ODD = re.compile(rf"[0159!@8$](?=[{LETTER}]{{2}})|(?<=[{LETTER}])[0159!@8$]")
+OTHER = re.compile(r"[^\x00-\x7f]")
+WORDLIKE = re.compile(rf"[{LETTER}0159!@8$]")
 GLYPHS = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "!": "i", "@": "a", "8": "b", "$": "s"})
 HYPHEN = re.compile(rf"(?<=[{LETTER}])[-¬­‐][ \t\r]*\n\s*(?=[{LETTER}])")
 
@@ -39,12 +43,21 @@ def view(text: str, pages: bool) -> tuple[str, list[int]]:
     edits = [(m.start(), m.end(), "") for m in HYPHEN.finditer(chars) if chars[m.end()].islower() or chars[m.start() - 2 : m.start()].isupper() and chars[m.end() : m.end() + 2].isupper()]
     if edits:
         chars, at = _splice(chars, at, edits)
-    edits = [(m.start(), m.end(), "") for m in STROKE.finditer(chars)]
+    edits = [(m.start(), m.end(), "") for m in STROKE.finditer(chars)] if any(c in chars for c in "|~`^'") else []
     if edits:
         chars, at = _splice(chars, at, edits)
     edits = []
-    for m in GLYPH.finditer(chars):
-        w = m.group()
+    seen = -1
+    for place in ODD.finditer(chars):
+        if place.start() < seen:
+            continue
+        a = place.start()
+        while a and WORDLIKE.match(chars[a - 1]):
+            a -= 1
+        m = GLYPH.match(chars, a)
+        if not m:
+            continue
+        w, seen = m.group(), m.end()
         if sum(c.isalpha() for c in w) >= 3 and sum(not c.isalpha() for c in w) == 1 and not re.match(r"[A-Z]{2,3}\d", w):
             new = w.translate(GLYPHS)
             if sum(c.isupper() for c in w) > 1:
@@ -73,7 +86,7 @@ def _splice(chars: str, at: list[int], spans: list[tuple[int, int, str]]) -> tup
 def _plain(chars: str, at: list[int]) -> tuple[str, list[int]]:
     """Ordinary characters for look-alikes, with letters and their accents composed."""
     tokens = list(lookalike.TOKEN.finditer(chars))
-    kinds = [lookalike._kind(m.group()) for m in tokens]
+    kinds = ["latin" if m.group().isascii() else lookalike._kind(m.group()) for m in tokens]
     swap = bytearray(len(chars))
     for k, m in enumerate(tokens):
         near = any(0 <= k + d < len(tokens) and kinds[k + d] == "foreign" and abs(tokens[k + d].start() - m.start()) < 25 for d in (-1, 1))
@@ -82,23 +95,29 @@ def _plain(chars: str, at: list[int]) -> tuple[str, list[int]]:
                 swap[i] = 1
     out: list[str] = []
     places: list[int] = []
-    for i, c in enumerate(chars):
-        if c.isascii():
-            out.append(c)
-        elif c in lookalike.IGNORABLE and not (c == "­" and chars[i + 1 : i + 2] == "\n"):
+    k = 0
+    for m in OTHER.finditer(chars):
+        i, c = m.start(), m.group()
+        out.append(chars[k:i])
+        places += at[k:i]
+        k = i + 1
+        if c in lookalike.IGNORABLE and not (c == "­" and chars[k : k + 1] == "\n"):
             continue
-        elif c in lookalike.BLANKS:
+        if c in lookalike.BLANKS:
             out.append(" ")
         elif unicodedata.combining(c):
-            if out and len(x := unicodedata.normalize("NFC", out[-1] + c)) == 1:
-                out[-1] = x
+            last = next((x for x in range(len(out) - 1, -1, -1) if out[x]), None)
+            if last is not None and len(x := unicodedata.normalize("NFC", out[last][-1] + c)) == 1:
+                out[last] = out[last][:-1] + x
             continue
         elif (x := lookalike.plain(c)) is not None:
-            out += x
+            out.append(x)
             places += [at[i]] * (len(x) - 1)
         else:
             out.append(lookalike.LOOK.get(c, c) if swap[i] else c)
         places.append(at[i])
+    out.append(chars[k:])
+    places += at[k:]
     return "".join(out), places
 
 

@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 
 from .common import fold
-from .parties import KIND_WORDS, KINDS, NICKNAMES, TITLES, code
+from .parties import KIND_WORDS, KINDS, LINKS, NICKNAMES, TITLES, code
 from .sentences import OPENERS
 
 UP, LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ�"
@@ -60,8 +60,10 @@ def nodes(text: str, taken: list[tuple[str, int, int]]) -> list[Node]:
         n.twin = w.lower() in lower
         out.append(n)
     _runs(text, out)
-    for n, group in ((n, g) for g in _groups(out) for n in g):
-        _features(text, n, group)
+    for group in _groups(out):
+        shared = _surroundings(text, group)
+        for k, n in enumerate(group):
+            n.features = _features(n, k, group, shared)
     return out
 
 
@@ -70,8 +72,10 @@ def _runs(text: str, ns: list[Node]) -> None:
     run = -1
     for i, n in enumerate(ns):
         n.gap = ""
-        before = text[: n.start].rstrip()
-        n.start_of_sentence = not before or before[-1] in ".:;!?" and not (i and ns[i - 1].shape == "I" and ns[i - 1].end == len(before) - 1) or text[n.start - 2 : n.start] == "\n\n"
+        at = n.start
+        while at and text[at - 1].isspace():
+            at -= 1
+        n.start_of_sentence = not at or text[at - 1] in ".:;!?" and not (i and ns[i - 1].shape == "I" and ns[i - 1].end == at - 1) or text[n.start - 2 : n.start] == "\n\n"
         if i:
             between = text[ns[i - 1].end : n.start]
             if ns[i - 1].shape == "I" and re.fullmatch(r"\.\s{0,2}", between) or re.fullmatch(r"[ \t]+|[ \t]*\r?\n[ \t]*", between):
@@ -93,45 +97,43 @@ def _groups(ns: list[Node]) -> list[list[Node]]:
     return groups
 
 
-def _last_words(text: str, at: int, n: int) -> list[str]:
-    """The last words before a place and the marks between them and it."""
-    part = text[max(0, at - 60) : at]
-    found = WORD.findall(part)[-n:]
-    return [fold(w) for w in found]
-
-
-def _features(text: str, n: Node, run: list[Node]) -> None:
+def _surroundings(text: str, run: list[Node]) -> list[str]:
+    """Features that all words of a run share: the words and marks around it, and what it holds."""
     a, b = run[0].start, run[-1].end
     left = text[max(0, a - 60) : a]
     lw = [fold(w) for w in WORD.findall(left)[-2:]]
     right = text[b : b + 50]
     rw = [fold(w) for w in WORD.findall(right)[:2]]
-    lp = re.search(r"[^\w\s]*\s*$", left).group().strip()[-1:] if left else "^"
-    rp = re.match(r"\s*[^\w\s]*", right).group().strip()[:1]
+    lp = LAST_MARKS.search(left).group().strip()[-1:] if left else "^"
+    rp = FIRST_MARKS.match(right).group().strip()[:1]
     folds = {x.fold for x in run}
-    org = bool(folds & ORG)
-    legal = bool(LEGAL.match(right)) or bool(folds & {"ltda", "limitada", "anonima"})
-    street = bool(lw and lw[-1] in STREETS and not lp)
-    of = lw[-1] if lw else "^"
+    fs = ["bias", f"l={lw[-1] if lw else '^'}|{lp}", f"l2={'_'.join(lw)}|{lp}", f"r={rw[0] if rw else '$'}|{rp}", f"r2={'_'.join(rw)}|{rp}", f"len={min(len(run), 4)}"]
+    if folds & ORG:
+        fs.append("org")
+    if LEGAL.match(right) or folds & {"ltda", "limitada", "anonima"}:
+        fs.append("legal")
+    if lw and lw[-1] in STREETS and not lp:
+        fs.append("street")
+    if folds & GIVEN:
+        fs.append("run_given")
+    return fs
+
+
+LAST_MARKS, FIRST_MARKS = re.compile(r"[^\w\s]*\s*$"), re.compile(r"\s*[^\w\s]*")
+
+
+def _features(n: Node, k: int, run: list[Node], shared: list[str]) -> list[str]:
+    place = "first" if k == 0 else "last" if k == len(run) - 1 else "mid"
+    f = n.fold
     fs = [
-        "bias", f"shape={n.shape}", f"suf3={n.fold[-3:]}", f"suf4={n.fold[-4:]}", f"w={n.fold}", f"l={of}|{lp}", f"l2={'_'.join(lw)}|{lp}", f"r={rw[0] if rw else '$'}|{rp}", f"r2={'_'.join(rw)}|{rp}",
-        f"len={min(len(run), 4)}", f"at={'first' if n is run[0] else 'last' if n is run[-1] else 'mid'}|{n.shape}", f"twin={n.twin}|{n.shape}|{n.start_of_sentence and n is run[0]}", f"start={n.start_of_sentence}",
+        *shared, f"shape={n.shape}", f"suf3={f[-3:]}", f"suf4={f[-4:]}", f"w={f}", f"at={place}|{n.shape}", f"twin={n.twin}|{n.shape}|{n.start_of_sentence and k == 0}", f"start={n.start_of_sentence}",
         f"gap={run[0].gap}|{n.shape}",
     ]
-    k = run.index(n)
     if k:
         fs.append(f"p={run[k - 1].fold}|{run[k - 1].start_of_sentence}")
-    if org:
-        fs.append("org")
-    if legal:
-        fs.append("legal")
-    if street:
-        fs.append("street")
-    if n.fold in NICKNAMES or n.fold in GIVEN:
+    if f in NICKNAMES or f in GIVEN:
         fs.append("given")
-    if folds & GIVEN:
-        fs.append("run_given")
-    n.features = fs
+    return fs
 
 
 GIVEN = frozenset(NICKNAMES.values()) | frozenset(
@@ -152,8 +154,8 @@ class Model:
         return cls(d["weights"], d["edges"])
 
     def score(self, n: Node) -> float:
-        get = self.weights.get
-        return sum(get(f, 0.0) for f in n.features)
+        w = self.weights
+        return sum([w[f] for f in n.features if f in w])
 
 
 def edge_type(a: Node, b: Node) -> str:
@@ -236,7 +238,7 @@ def _spans(text: str, ns: list[Node], yes: np.ndarray) -> list[tuple[int, int]]:
             e += 1
         end = ns[e].end + (ns[e].shape == "I" and text[ns[e].end : ns[e].end + 1] == ".")
         heading = text[end : end + 1] == ":" and text[ns[k].start : end].isupper()
-        if any(ns[x].shape != "I" for x in range(k, e + 1)) and not heading:
+        if any(ns[x].shape != "I" and ns[x].fold not in LINKS and ns[x].fold != "para" for x in range(k, e + 1)) and not heading:
             spans.append((ns[k].start, end))
         k = e + 1
     return spans

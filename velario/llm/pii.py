@@ -20,8 +20,9 @@ from . import persons
 from .cleanview import view
 from .common import arrow_rows, spread
 
-AT = r"(?:@|\s?\(\s?at\s?\)\s?|\s?\[\s?at\s?\]\s?|\s?\[\s?arroba\s?\]\s?|\s?\(\s?arroba\s?\)\s?|\sarroba\s)"
-EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+\-]*{AT}[A-Za-z0-9\-]+(?:(?:\.|\(dot\)|\[punto\])[A-Za-z0-9\-]+)*?(?:\.|\[punto\])[A-Za-z]{{2,}}(?![A-Za-z0-9])")
+AT_SIGN = re.compile(r"@|[(\[]\s?(?:at|arroba)\s?[)\]]|(?<=\s)arroba(?=\s)")
+MAILBOX = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*$")
+DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.|\(dot\)|\[punto\])[A-Za-z0-9\-]+)*?(?:\.|\[punto\])[A-Za-z]{2,}(?![A-Za-z0-9])")
 S = r"[\s.\-]?"
 #: Numbers with their words; the find is group 1.
 ID_FORMS = (
@@ -52,6 +53,7 @@ ADDRESS_FORMS = (
     re.compile(rf"(?<![\w])((?:calle|pasaje|avenida|bulevar|diagonal|camino|av\.|bv\.|pje\.|c/))\s*{STREET_NAME}{HOUSE}"),
     re.compile(rf"(?:domicilio(?:\s+\w+)?\s+(?:en|:)|domiciliad[oa]\s+en|reside\s+en|vivido\s+en|vive\s+en|inmueble\s+de|mudó\s+de)\s*:?\s*({STREET_NAME}{HOUSE})"),
 )
+FIGURES, REACH = re.compile(r"\d[\d\s.\-()+]{4,}\d"), 60
 PLACEHOLDERS = {"email": "EMAIL", "phone": "TELEFONO", "id_number": "DOCUMENTO", "address": "DOMICILIO", "name": "PERSONA"}
 
 
@@ -62,11 +64,23 @@ def structured(text: str) -> list[tuple[str, int, int]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for _, x, y in found)
 
-    for m in EMAIL.finditer(text):
-        found.append(("email", m.start(), m.end()))
+    for m in AT_SIGN.finditer(text):  # from the sign outwards: no search at every word
+        word = m.group() != "@"  # a sign in words may have blanks around it
+        a = m.start() - (word and text[m.start() - 1 : m.start()].isspace())
+        b = m.end() + (word and text[m.end() : m.end() + 1].isspace())
+        left, domain = MAILBOX.search(text[max(0, a - 80) : a]), DOMAIN.match(text, b)
+        if left and domain:
+            found.append(("email", a - len(left.group()), domain.end()))
+    near: list[list[int]] = []  # the surroundings of figures, where alone numbers can be
+    for m in FIGURES.finditer(text):
+        if near and m.start() - REACH <= near[-1][1]:
+            near[-1][1] = m.end() + 4
+        else:
+            near.append([max(0, m.start() - REACH), m.end() + 4])
+    whole = [[0, len(text)]]
     for kind, forms in (("id_number", ID_FORMS), ("phone", PHONE_FORMS), ("address", ADDRESS_FORMS)):
         for form in forms:
-            for m in form.finditer(text):
+            for m in (m for lo, hi in (whole if kind == "address" else near) for m in form.finditer(text, lo, hi)):
                 a, b = m.span(1) if kind != "address" else (m.start(1), m.end())
                 if kind == "phone" and not 6 <= sum(c.isdigit() for c in text[a:b]) <= 14:
                     continue
