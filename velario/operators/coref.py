@@ -34,11 +34,11 @@ def clusters(classified: DataFrame, policy: DataFrame, comma_aware: bool = False
     c = keyed.groupBy("doc_id", "key").agg(
         F.min("card_id").alias("first_card"),
         F.count("*").alias("n_mentions"),
-        F.countDistinct("role").alias("_roles"),
+        (F.min("role") != F.max("role")).alias("_mixed"),  # a distinct count would shuffle twice
         F.min_by(F.struct("role", "confidence", "text"), "card_id").alias("_first"),
         F.max_by(F.struct("role", "confidence"), F.struct("confidence", -F.col("card_id"))).alias("_best"),
     )
-    best = F.col("_roles") > 1
+    best = F.col("_mixed")
     c = c.select(
         "doc_id", "key", F.when(best, F.col("_best.role")).otherwise(F.col("_first.role")).alias("role"), F.when(best, F.col("_best.confidence")).otherwise(F.col("_first.confidence")).alias("confidence"), "first_card",
         "n_mentions", F.col("_first.text").alias("sample"),
