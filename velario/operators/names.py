@@ -162,7 +162,8 @@ def name_spans(text: Column, forms: Column, placeholder: Column | None = None, p
 
     # the pattern of a form also matches the form itself, and forms that differ in capitals or accents share one pattern
     usable = F.filter(forms, lambda v: F.length(v) >= 4)
-    patterns = F.array_distinct(F.transform(usable, lambda v: flexible(F.lower(fold_accents(v)))))
+    distinct = F.array_distinct(F.transform(usable, lambda v: F.lower(fold_accents(v))))
+    patterns = F.array_distinct(F.transform(distinct, flexible))
     found = F.flatten(F.transform(patterns, lambda p: find_all(text, p)))
     hits = F.array_distinct(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))))
     extra = {k: v for k, v in (("placeholder", placeholder), ("party_name", party), ("party_rol", role)) if v is not None}
