@@ -268,21 +268,23 @@ def linked(parties: DataFrame) -> DataFrame:
     def block(rows) -> Iterator[tuple]:
         for i, folder, name in rows:
             for k in keys(folder, name) if parse(name)[1] else ():
-                yield k, i, name
+                yield k, i
 
-    blocks = arrow_rows(spread(nodes.select("id", "folder", "nombre"), "id"), "k bigint, id bigint, nombre string", block).checkpoint()
-    left, right = blocks.select("k", F.col("id").alias("a"), F.col("nombre").alias("na")), blocks.select("k", F.col("id").alias("b"), F.col("nombre").alias("nb"))
-    pairs = left.join(right, "k").where("a < b").select("a", "b", "na", "nb").distinct()
+    # blocks and pairs carry ids only; the spellings join the distinct pairs
+    blocks = arrow_rows(spread(nodes.select("id", "folder", "nombre"), "id"), "k bigint, id bigint", block).checkpoint()
+    candidates = blocks.withColumnRenamed("id", "a").join(blocks.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b").distinct()
+    spelt = candidates.join(nodes.select(F.col("id").alias("a"), F.col("nombre").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("nombre").alias("nb")), "b")
 
     def compare(rows) -> Iterator[tuple]:
         for a, b, na, nb in rows:
             if same_party(na, nb):
                 yield a, b
 
-    edges = arrow_rows(pairs, "a bigint, b bigint", compare, 4096).checkpoint()
+    edges = arrow_rows(spelt.select("a", "b", "na", "nb"), "a bigint, b bigint", compare, 4096).checkpoint()
     degree = edges.select("a").unionAll(edges.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    found = components(edges, nodes).join(degree, "id", "left")
-    return rows.join(nodes.join(found, "id"), ["folder", "nombre"]).select("party_id", "folder", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = components(edges, degree.select("id")).join(degree, "id")  # a spelling without links is its own component
+    named = nodes.join(found, "id", "left").select("folder", "nombre", F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(named, ["folder", "nombre"]).select("party_id", "folder", "component", "n_links")
 
 
 def pairs(parties: DataFrame) -> DataFrame:
