@@ -288,3 +288,21 @@ def test_gate_keeps_cases_near_the_bound():
 
             assert model.probability(np.stack([repeats.features(hs, t)]))[0] >= repeats.GATE
     assert cases > 100
+
+
+@pytest.mark.parametrize("unit", ["palabra otra. ", "x.", "ศาลยกคำร้อง ", "Á", "аб ", "agr@vio ", "Ã³n\xa0", "\"«a. ", "ABC de ", "1.2-3 "])
+def test_very_long_texts_take_linear_time(unit):
+    import time
+
+    from velario.llm import persons, pii
+
+    text = unit * (300_000 // len(unit))
+    began = time.perf_counter()
+    sentences.units(text)
+    encoding.restore(text, frozenset({"más"}))
+    lookalike.canonical(text)
+    scans.analyse(text, WORDS)
+    pii.found_in([(text, True)], persons.Model.load())
+    pieces.cut(text, 500, 50)
+    repeats.features(WordHashes()(words(text)), text)
+    assert time.perf_counter() - began < 60

@@ -58,8 +58,8 @@ def code(token: str) -> str:
 
 def edits(a: str, b: str, most: int = 2) -> int:
     """Edit distance with neighbouring swaps, up to ``most`` + 1."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    if abs(len(a) - len(b)) > most or len(a) > 60:  # tokens so long are no names: equal or different
+        return 0 if a == b else most + 1
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
