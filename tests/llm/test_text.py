@@ -184,7 +184,7 @@ def test_encoding_equals_the_library(spark):
     t = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [None, "", " ", "aaaaaaa", "a" * 3000, "¿Qué? It's  \n\n 12345 <|endoftext|> 🙂", "ทดสอบ 合同"] + ["".join(rng.choice(string.printable + "áñ €🙂") for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    texts = [None, "", " ", "aaaaaaa", "a" * 3000, "¿Qué? It's  \n\n 12345 <|endoftext|> 🙂", "ทดสอบ 合同", "".join(rng.choice("abcdeáñ9") for _ in range(9000)), "ab" * 3000] + ["".join(rng.choice(string.printable + "áñ €🙂") for _ in range(rng.randint(1, 80))) for _ in range(200)]
     want = [t.encode(x, add_special_tokens=False).ids if x else [] for x in texts]
     assert bpe.Bpe().encode_batch(texts) == want
     df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(texts)], "doc_id bigint, text string, ids int")

@@ -1,7 +1,8 @@
 """Problem 8: encoding of a corpus with a public byte-level BPE vocabulary.
 
 Method: batched numpy merge rounds. The symbols of all distinct new words of a batch lie in one flat array; each round
-finds the lowest-rank pair of every word by binary search over sorted pair keys and merges all its occurrences.
+finds the lowest-rank pair of every word by binary search over sorted pair keys and merges all its occurrences. Words of more
+than ``LONG`` characters, which would need very many rounds, are merged one by one from a heap of the same pairs.
 
 Defined results: null and empty texts give an empty list; every row of the input gives one row; strings of special tokens
 are ordinary text; other columns of the input are ignored.
@@ -10,6 +11,7 @@ are ordinary text; other columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -23,6 +25,8 @@ from .common import spread
 
 #: The published pre-tokenisation pattern of this vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Longer unbroken words are merged one by one.
+LONG = 400
 NO_PAIR = np.int64(1 << 40)
 
 
@@ -43,12 +47,42 @@ class Bpe:
         self.keys, self.rank = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.seen: dict[str, list[int]] = {}
+        self.table: dict[int, tuple[int, int]] | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"seen": {}, "table": None}
+
+    def _long(self, raw: bytes) -> list[int]:
+        """One long word: a heap of pairs over a linked list, as rounds over the whole word would take quadratic time."""
+        if self.table is None:
+            self.table = {int(k): (int(r), int(self.merged[r])) for k, r in zip(self.keys, self.rank, strict=True)}
+        table = self.table
+        sym = [int(x) for x in self.first[np.frombuffer(raw, np.uint8)]]
+        n = len(sym)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(table[k][0], i, k) for i in range(n - 1) if (k := sym[i] << 20 | sym[i + 1]) in table]
+        heapq.heapify(heap)
+        while heap:
+            _, i, key = heapq.heappop(heap)
+            j = after[i] if sym[i] >= 0 else n
+            if j >= n or sym[i] << 20 | sym[j] != key:  # one of the two has been merged since
+                continue
+            sym[i], sym[j] = table[key][1], -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (k := sym[a] << 20 | sym[b]) in table:
+                    heapq.heappush(heap, (table[k][0], a, k))
+        return [x for x in sym if x >= 0]
 
     def _learn(self, new: list[str]) -> None:
         """Encode distinct words in merge rounds and remember them."""
+        for w in [w for w in new if len(w) > LONG]:
+            self.seen[w] = self._long(w.encode("utf-8", "surrogatepass"))
+        new = [w for w in new if len(w) <= LONG]
+        if not new:
+            return
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         symbols = self.first[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), [len(b) for b in raw])
