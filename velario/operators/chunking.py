@@ -32,8 +32,8 @@ def sentences(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Four characters to a token; none if empty."""
-    n = F.length(text)
+    """Four characters to a token; none if empty or null."""
+    n = F.coalesce(F.length(text), F.lit(0))
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor((n + 3) / 4)).cast("int"))
 
 

@@ -143,7 +143,7 @@ p AS (SELECT doc_id, page, arg_min((x0 + x1) / 2, ord) AS x, arg_min((y0 + y1) /
 j AS (SELECT p.doc_id, p.page, round(y1 - y0, 3) AS size, row_number() OVER (PARTITION BY p.doc_id, p.page ORDER BY abs((y0 + y1) / 2 - y), ord) AS rn FROM p JOIN b USING (doc_id, page)
   WHERE x BETWEEN x0 - 2 AND x1 + 2 AND y BETWEEN y0 - 2 AND y1 + 2)
 SELECT p.doc_id, p.page, coalesce(size, 12.0) AS size, 'Times' AS font FROM p LEFT JOIN (SELECT * FROM j WHERE rn = 1) j USING (doc_id, page)""",
-        "token_counts": "SELECT chunk_id, (length(text) + 3) // 4 AS tokens FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)",
+        "token_counts": "SELECT chunk_id, (coalesce(length(text), 0) + 3) // 4 AS tokens FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)",
         "public_ids": f"""WITH {DOCS}, x AS (SELECT doc_id, path, substr(sha1(coalesce(text, '')), 1, 10) AS public_id FROM docs)
 SELECT doc_id, public_id, 'documento_' || public_id || '_anonimizado' || lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS public_name,
 {STEM.format('path')} || '_anonimizado' || lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS output_name FROM x""",
