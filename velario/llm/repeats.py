@@ -87,7 +87,12 @@ def features(h: np.ndarray, text: str) -> np.ndarray:
 
 
 def fit(X: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton-free accelerated descent; deterministic."""
+    """Logistic regression by accelerated descent; deterministic. Columns without a value keep the weight 0 and are left out of the work."""
+    used = np.flatnonzero(X.any(0))
+    if len(used) < X.shape[1]:
+        out = np.zeros(X.shape[1])
+        out[used] = fit(np.ascontiguousarray(X[:, used]), y, steps, l2)
+        return out
     w = v = np.zeros(X.shape[1])
     rate = 4 / max(1e-9, np.linalg.norm(X, 2) ** 2 / len(X) + l2)
     for k in range(steps):
