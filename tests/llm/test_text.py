@@ -111,6 +111,31 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentences.units(text)] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("控訴を棄却しました\n原告は争いました", ["控訴を棄却しました", "原告は争いました"]),
+        ("原告は出頭した 被告は争った", ["原告は出頭した", "被告は争った"]),
+        ("法院驳回了上诉吗\n谁签署了文件", ["法院驳回了上诉吗", "谁签署了文件"]),
+        ("原告は、契約の\n無効を主張した", ["原告は、契約の\n無効を主張した"]),  # a line end alone
+        ("被告もまた\n証人である", ["被告もまた\n証人である"]),  # a word that only ends like a particle
+        ("原告の提出した\n契約書を認める", ["原告の提出した\n契約書を認める"]),
+        ("原告提出的\n合同无效", ["原告提出的\n合同无效"]),
+        ("証人です\nが、知らない", ["証人です\nが、知らない"]),
+        ("証人は「見ていません\n被告は知りません」と述べた。", ["証人は「見ていません\n被告は知りません」と述べた。"]),
+        ("ศาลยกคำร้อง\nโจทก์ยื่นฟ้อง", ["ศาลยกคำร้อง", "โจทก์ยื่นฟ้อง"]),
+        ("ศาลเห็นว่า\nจำเลยผิด", ["ศาลเห็นว่า\nจำเลยผิด"]),
+        ("พยานกล่าวว่า “ไม่เห็น ไม่ได้ยิน” ศาลยกคำร้อง", ["พยานกล่าวว่า", "“ไม่เห็น ไม่ได้ยิน”", "ศาลยกคำร้อง"]),
+    ],
+)
+def test_gaps_of_spaceless_scripts(text, want):
+    assert [text[a:b] for a, b in sentences.units(text)] == want
+
+
+def test_words_of_spaceless_scripts():
+    assert sentences.segments("被告はました") == ["被告", "は", "ました"]
+
+
 def test_sentences_cover_long_texts():
     text = "Una frase corta. " * 5000
     u = sentences.units(text)

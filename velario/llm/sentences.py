@@ -1,10 +1,11 @@
 """Problem 5: sentence units across languages and scripts.
 
-Method: spaced scripts by a terminator lattice: every terminator (with its closing marks) is a node that either ends a sentence
-or does not; costs come from the word before (abbreviation, initial, ordinal), the word after (case, opener) and the state of
-quotes and brackets, and the cheapest path through the lattice gives the breaks. Spaceless scripts are cut into words by the
-cheapest path through a lattice of dictionary words; a gap (blank, line end, terminator) is then a boundary by the final particles
-before it and the opening words after it.
+Method: every terminator (with its closing marks) either ends a sentence or does not; costs come from the word before
+(abbreviation, initial, ordinal), the word after (case, opener) and the state of quotes and brackets. Quotations are paired
+beforehand, so that no terminator's cost depends on another's choice and each is decided by itself, without a search. Spaceless
+scripts are cut into words by the cheapest path through a lattice of dictionary words; a gap without a terminator is then a boundary
+by the last word before it and the first word after it: a blank or line end in Chinese and Japanese, a line end in Thai. A blank
+beside Thai parts two sentences by definition. No gap inside a quotation is a boundary.
 
 Defined results: null, empty and blank texts have no unit; units are trimmed of blanks and keep closing marks and quotes; an
 empty line ends a unit; a line break alone does not; a long unbroken run on its own line is a unit; the rest of a cut-off text
@@ -46,23 +47,30 @@ TERMINATOR = re.compile("[.!?…‥։؟۔।॥。！？｡．]+")
 CLOSERS = "\"'”’»›)]}」』】）〉》“"
 OPEN = {"«": "»", "‹": "›", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "“": "”"}
 THAI = re.compile("[฀-๿຀-໿က-႟ក-៿]")
+THAI_LAST, THAI_FIRST = re.compile("[฀-๿຀-໿က-႟ក-៿]+$"), re.compile("[฀-๿຀-໿က-႟ក-៿]+")
 EAST = re.compile("[぀-ヿ一-鿿㐀-䶿]")
+EAST_LAST, EAST_FIRST = re.compile("[぀-ヿ一-鿿㐀-䶿]+$"), re.compile("[぀-ヿ一-鿿㐀-䶿]+")
+GAP = re.compile(r"\s+")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 RUN = re.compile(r"(?m)(?:(?<=\n)|\A)[ \t]*([A-Za-z0-9+/=_\-.:%&?#~]{24,})[ \t\r]*(?=\n|\Z)")
 
 #: A small dictionary of the spaceless scripts: final particles and opening words (fixed values).
 FINALS = tuple("です ます ました ません でした た だ か ね よ 了 吗 呢 吧 啊 的 ครับ ค่ะ คะ นะ แล้ว ด้วย สัญญา คำร้อง เหตุการณ์ บาท".split())
 STARTERS = tuple("原告 被告 証人 裁判所 控訴 契約 誰 法院 证人 合同 上诉 鉴定 谁 โจทก์ จำเลย ศาล พยาน ค่าเสียหาย และ แต่".split())
+#: Finals that end a sentence whatever opens the next line; after the others only an opening word makes a boundary (fixed values).
+SURE = frozenset("です ます ました ません でした 吗 呢 吧".split())
+#: Words that end like a final particle and yet carry on, and Thai words that want a continuation (fixed values).
+BOUND = frozenset("また ただ まだ 未だ あなた ほか 静か 確か わずか いずれか 为了 除了 目的 的 ว่า ที่ ของ และ แต่ กับ ให้ โดย จาก ตาม หรือ ซึ่ง".split())
 CARRY = ("と", "って", "との", "という", "は", "が", "を", "に", "の", "も", "、", "，", ",", "地说", "说")
 
 
 @cache
 def _lexicon() -> dict[str, float]:
-    return {w: 0.5 for w in FINALS + STARTERS + CARRY[:10]}
+    return {w: 0.5 for w in (*FINALS, *STARTERS, *BOUND, *CARRY[:10])}
 
 
-def word_edges(run: str) -> set[int]:
-    """Edges of the cheapest path through the lattice of dictionary words and single characters of an unbroken run."""
+def segments(run: str) -> list[str]:
+    """Words of the cheapest path through the lattice of dictionary words and single characters of an unbroken run."""
     lexicon, n = _lexicon(), len(run)
     longest = max(map(len, lexicon))
     best, back = [0.0] + [1e18] * n, [0] * (n + 1)
@@ -71,11 +79,42 @@ def word_edges(run: str) -> set[int]:
             cost = lexicon.get(run[i : i + k], 1.0 if k == 1 else 1e9)
             if best[i] + cost < best[i + k]:
                 best[i + k], back[i + k] = best[i] + cost, i
-    edges, at = {n}, n
+    out, at = [], n
     while at:
+        out.append(run[back[at] : at])
         at = back[at]
-        edges.add(at)
-    return edges
+    return out[::-1]
+
+
+@cache
+def _ends() -> tuple[frozenset[str], frozenset[str]]:
+    return frozenset(FINALS), frozenset(STARTERS)
+
+
+def gap_ends(text: str, start: int, end: int) -> bool:
+    """Whether the gap text[start:end] (blanks or a line end, no terminator before it) beside a spaceless script ends a sentence."""
+    left, right = text[max(0, start - 60) : start], text[end : end + 60]
+    thai_l, thai_r = THAI_LAST.search(left), THAI_FIRST.match(right)
+    finals, starters = _ends()
+    if thai_l or thai_r:
+        if not ((thai_l or left[-1:].isdigit() or left[-1:] in CLOSERS) and (thai_r or right[:1].isdigit() or right[:1] in "\"“«(")):
+            return False
+        if "\n" not in text[start:end]:
+            return True
+        last = segments(thai_l.group())[-1] if thai_l else ""
+        return last not in BOUND and (last in finals or bool(thai_r) and segments(thai_r.group())[0] in starters)
+    east_l, east_r = EAST_LAST.search(left), EAST_FIRST.match(right)
+    if not east_l:
+        return False
+    last = segments(east_l.group())[-1]
+    if last in BOUND or last not in finals:
+        return False
+    if not east_r:
+        return last in SURE and (right[:1].isdigit() or right[:1] in OPEN and right[:1] not in "(（[")
+    first, *rest = segments(east_r.group())
+    if last in ("た", "だ"):  # a plain past may also belong to the noun after it: only a topic opens a sentence
+        return first in starters and rest[:1] in (["は"], ["が"], ["も"])
+    return first in starters or last in SURE and first not in CARRY and first not in finals
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
@@ -175,9 +214,9 @@ def _cost(text: str, start: int, end: int, after: int) -> float:
     return -5
 
 
-def breaks(text: str) -> list[int]:
-    """Places (ends of units, before trimming) chosen by the cheapest path through the lattice of terminators."""
-    spans = quoted(text)
+def breaks(text: str, spans: list[tuple[int, int]] | None = None) -> list[int]:
+    """Places (ends of units, before trimming) after the terminators that end a sentence; ``spans``: those of quoted()."""
+    spans = quoted(text) if spans is None else spans
     inside = sorted(s for s in spans if s[1] - s[0] > 1)  # outermost, so disjoint: one search finds the one that holds a place
     starts, opens = [a for a, _ in inside], {a for a, _ in spans}
     nodes: list[tuple[int, float, bool]] = []
@@ -195,7 +234,7 @@ def breaks(text: str) -> list[int]:
         k = bisect_left(starts, m.start()) - 1
         held = k >= 0 and m.start() < inside[k][1] and end < inside[k][1]
         nodes.append((end, _cost(text, m.start(), end, after), held))
-    # with quotations paired beforehand the nodes are independent, so the cheapest path takes every node of negative cost;
+    # with quotations paired beforehand the nodes are independent, so every node of negative cost is taken;
     # a quotation that is still open makes a break dearer than any gain
     return [end for end, cost, held in nodes if cost + (20 if held else 0) < 0]
 
@@ -204,21 +243,19 @@ def units(text: str | None) -> list[tuple[int, int]]:
     """Sentence units of a text as (start, end)."""
     if not text or text.isspace():
         return []
-    ends = set(breaks(text))
+    spans = sorted(quoted(text))
+    ends = set(breaks(text, spans))
     for m in PARAGRAPH.finditer(text):
         ends.add(m.start())
     for m in RUN.finditer(text):
         if not m.group(1).isalpha() or len(m.group(1)) >= 40:
             ends |= {m.start(1), m.end(1)}
-    if THAI.search(text):
-        for m in re.finditer(r"\s+", text):
-            left, right = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60]
-            run_l = re.search("[฀-๿຀-໿က-႟ក-៿]+$", left)
-            run_r = re.match("[฀-๿຀-໿က-႟ក-៿]+", right)
-            # a gap between two words of the script is a boundary where both sides are at edges of their lattices
-            if (run_l or run_r) and (not run_l or len(run_l.group()) in word_edges(run_l.group())) and (not run_r or 0 in word_edges(run_r.group())):
-                if (run_l or left[-1:].isdigit() or left[-1:] in CLOSERS) and (run_r or right[:1].isdigit() or right[:1] in "\"“«("):
-                    ends.add(m.start())
+    if THAI.search(text) or EAST.search(text):
+        starts = [a for a, _ in spans]
+        for m in GAP.finditer(text):
+            k = bisect_left(starts, m.start()) - 1
+            if not (k >= 0 and m.end() < spans[k][1]) and gap_ends(text, m.start(), m.end()):
+                ends.add(m.start())
     out, at = [], 0
     for e in [*sorted(ends), len(text)]:
         a, b = at, e
