@@ -42,6 +42,16 @@ def test_trie_picks_the_frequent_spelling_among_ties():
     assert lookalike.canonical("а" * 50_000) == "a" * 50_000
 
 
+def test_the_trie_decides_between_readings_of_a_look_alike():
+    t = lookalike.Trie({"la": 900, "caballo": 20, "Inés": 5, "ll": 70, "Ia": 3})
+    read = lambda x: lookalike.canonical(x, t)
+    assert lookalike.canonical("Іa") == "Ia" and read("Іa parte") == "la parte"
+    assert read("cabaІІo, Іnés, ІІ") == "caballo, Inés, II"
+    assert read("ＩＩ Ｉa") == "II Ia"  # a full-width letter shows which it is
+    assert read("Iа Ia") == "Ia Ia"  # ordinary letters stay
+    assert read("Іu") == "Iu"  # no word is reached: the table
+
+
 def test_units(spark):
     spans = spark.createDataFrame([(1, "аsí", 7), (1, "аsí", 8), (2, "declarÃ³ аsí", 1), (3, None, 1), (4, "así", 1)], "span_id bigint, text string, unit_kind int")
     runs = spark.createDataFrame([], "run_id bigint, text string")

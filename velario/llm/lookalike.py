@@ -1,8 +1,8 @@
 """Problem 1: one consistent form for text that looks the same.
 
-Method: a trie of the ordinary words of the corpus is traversed with a weighted edit automaton in which look-alikes and
-ignorable characters cost nothing and any other change costs more than is allowed; of the spellings reached the most frequent
-is taken. Tokens that reach no spelling are normalised by table. Words quoted in a foreign script stay as they are: a word that
+Method: a trie of the ordinary words of the corpus is traversed with an automaton in which look-alikes and ignorable characters
+cost nothing, a letter of another script that looks like I or l may be either, and no other change is allowed; of the spellings reached
+the most frequent is taken. Roman numerals and tokens that reach no spelling are normalised by table. Words quoted in a foreign script stay as they are: a word that
 holds a letter without Latin look-alike, and words of look-alikes beside such a word.
 
 Defined results: null stays null, an empty text stays empty; typographic quotes, dashes, degree and ordinal signs are ordinary;
@@ -30,6 +30,7 @@ IGNORABLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤
 BLANKS = "               　"
 SUSPECT = encoding.SUSPECT
 TOKEN = re.compile(rf"[^\W\d_{IGNORABLE}](?:[^\W\d_]|[{IGNORABLE}̀-ͯ])*", re.UNICODE)
+ROMAN = re.compile("[IVX]+")
 COMPLEX = re.compile("[֐-ࣿऀ-෿฀-࿿က-႟ក-៿]")
 EAST = re.compile("[⺀-⿿、-鿿가-힯ｦ-ﾟ]")
 
@@ -64,36 +65,33 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = n
 
-    def nearest(self, token: str, most: float = 0.5) -> str | None:
-        """The most frequent word that the token reaches at no more than the allowed cost."""
-        best: tuple[float, int, str] | None = None
-        states: list[tuple[dict, float, str]] = [(self.root, 0.0, "")]
+    def nearest(self, token: str) -> str | None:
+        """The most frequent word that the token may be read as; ordinary characters stand for themselves only."""
+        states: list[tuple[dict, int, str]] = [(self.root, 0, "")]
         for c in token:
             if c in IGNORABLE:
                 continue
             nxt = []
             shown = plain(c) or LOOK.get(c) or c
-            for node, cost, word in states:
-                for add, options in ((0.0, (shown,)), (0.5, _case(shown))):
-                    for x in options:
-                        at = node
-                        for k in x:
-                            at = at.get(k)
-                            if at is None:
-                                break
-                        if at is not None and cost + add <= most:
-                            nxt.append((at, cost + add, word + x))
+            options = (shown, *_case(shown)) if c in LOOK else (shown,)
+            for node, turned, word in states:
+                for x in options:
+                    at = node
+                    for k in x:
+                        at = at.get(k)
+                        if at is None:
+                            break
+                    if at is not None:
+                        nxt.append((at, turned + (x != shown), word + x))
             states = nxt
             if not states:
                 return None
-        for node, cost, word in states:
-            if "" in node and (best is None or (cost, -node[""], word) < best):
-                best = (cost, -node[""], word)
-        return best[2] if best else None
+        ends = [(-node[""], turned, word) for node, turned, word in states if "" in node]
+        return min(ends)[2] if ends else None
 
 
 def _case(c: str) -> tuple[str, ...]:
-    """Letters that look alike in one case only (I and l, 0 and O) are the same at a small cost."""
+    """Letters that look alike in one case only (I and l, 0 and O) may each be what a look-alike of the other shows."""
     return {"I": ("l",), "l": ("I",), "O": ("0",), "0": ("O",)}.get(c, ())
 
 
@@ -130,9 +128,7 @@ def canonical(text: str | None, trie: Trie | None = None) -> str | None:
             continue
         shown = "".join("" if c in IGNORABLE else plain(c) or (LOOK.get(c, c) if kind != "latin" else c) for c in w)
         if shown != w:
-            shown = _compose(shown)
-            if trie and (found := trie.nearest(w)) and found.casefold() == shown.casefold():
-                shown = found if len(found) == len(shown) and found != shown and shown not in trie.root else shown
+            shown = trie and not ROMAN.fullmatch(shown) and trie.nearest(w) or _compose(shown)
         out.append(shown)
     out.append(_outside(composed, at, len(composed)))
     return "".join(out)
