@@ -90,6 +90,12 @@ def test_damaged_records(spark):
     assert {(r.record_kind, r.record_id, r.restored, r.restorable) for r in got} == {("pdf_document", 1, "pidió", True), ("pdf_span", 1, "negó", True)}
 
 
+def test_wrong_case_alone_is_looked_at(spark):
+    rows = spark.createDataFrame([("pdf_span", i, t) for i, t in enumerate(["BARRUNASTI, RAéL", "tambiÚn fue", "Raúl SÍ, Ángel dijo Sí y ASÍ", "RAé.", None])], "record_kind string, record_id bigint, text string")
+    got = {r.record_id: r.restored for r in encoding.damaged(rows, frozenset()).collect()}
+    assert got == {0: "BARRUNASTI, RAÚL", 1: "también fue", 3: "RAÚ."}
+
+
 # --- 5
 
 

@@ -24,8 +24,12 @@ ONE_BYTE = ("cp1252", "cp850", "cp437", "mac_roman")
 #: Letters and marks of Spanish and its neighbours that a damaged ruling may have held (fixed values).
 LETTERS = "áéíóúüñÁÉÍÓÚÜÑãõâêôàèìòùçäëïöÃÕÂÊÔÀÈÇÄËÏÖß"
 MARKS = "¡¿ºª°«»·×Ø§£€–—‘’“”…†•"
-#: What is never outside Latin text that JVM and Python look at first: a row without such characters cannot be damaged.
+#: Characters outside ordinary Spanish text, which JVM and Python look at first.
 SUSPECT = r"[^\x00-\x7FáéíóúñüÁÉÍÓÚÑÜ°º]"
+#: Accented letters of the wrong case: a row with neither these nor SUSPECT characters cannot be damaged.
+WRONG_CASE = "(?<=[a-záéíóúñü][ÁÉÍÓÚÑÜ])|(?<=[A-ZÁÉÍÓÚÑÜ][áéíóúñü])(?=[A-ZÁÉÍÓÚÑÜ])|(?<=[A-ZÁÉÍÓÚÑÜ]{2}[áéíóúñü])(?![a-záéíóúñü])"
+#: Either, tried only after a character outside ASCII, so that plain rows are read once.
+GATE = rf"[^\x00-\x7F](?:(?<={SUSPECT})|{WRONG_CASE})"
 
 
 def _read(raw: bytes, encoding: str) -> str | None:
@@ -234,7 +238,7 @@ def damaged(records: DataFrame, known: frozenset[str]) -> DataFrame:
             if spans := damage(text, held.value):
                 yield kind, i, restore(text, held.value), all(s[2] is not None for s in spans)
 
-    return arrow_rows(records.where(F.col("text").rlike(SUSPECT)), "record_kind string, record_id bigint, restored string, restorable boolean", run, 2048)
+    return arrow_rows(records.where(F.col("text").rlike(GATE)), "record_kind string, record_id bigint, restored string, restorable boolean", run, 2048)
 
 
 def records(pdf_documents: DataFrame, pdf_spans: DataFrame) -> DataFrame:
