@@ -86,10 +86,11 @@ def zone_at(offset: Column, zs: Column) -> Column:
 def assign_zones(points: DataFrame, zone_rows: DataFrame, key: str = "doc_id", at: str = "start") -> DataFrame:
     """The same as a join: points ⟕ zones of the same document that hold them, best zone kept.
 
-    The equality on the document is the shuffle key, so that the interval test runs inside a document only.
+    The equality on the document is the shuffle key, so that the interval test runs inside a document only. Equally long zones
+    go by ``ord`` of the zones, where they have it.
     """
     p = points.withColumn("_row", F.monotonically_increasing_id())
-    z = zone_rows.select(F.col(key).alias("_k"), F.col("name").alias("zone_hint"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("default_role").alias("zone_default_role"))
+    z = zone_rows.select(F.col(key).alias("_k"), F.col("name").alias("zone_hint"), F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("default_role").alias("zone_default_role"), (F.col("ord") if "ord" in zone_rows.columns else F.lit(0)).alias("_o"))
     j = p.join(z, (p[key] == z["_k"]) & (z["_a"] <= p[at]) & (p[at] < z["_b"]), "left")
-    w = Window.partitionBy("_row").orderBy(F.desc(rank(F.col("zone_hint"))), F.col("_b") - F.col("_a"), "_a", "zone_hint")
-    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_row", "_k", "_a", "_b")
+    w = Window.partitionBy("_row").orderBy(F.desc(rank(F.col("zone_hint"))), F.col("_b") - F.col("_a"), "_o", "_a", "zone_hint")
+    return j.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_row", "_k", "_a", "_b", "_o")

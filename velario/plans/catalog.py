@@ -128,13 +128,21 @@ def document_zones(s, d):
 
 
 def assign_zone(s, d):
-    """The zone of every e-mail address, as an interval join keyed by document."""
+    """The caption or signature zone of every e-mail address (what its SQL states); ``zones_of_spans`` has all spans and zones."""
     docs = _docs(s, d).withColumn("spans", identifiers.email(F.col("text"))).withColumn("zones", F.concat(zones.caption(F.col("text")), zones.signature(F.col("text"))))
     points = explode_spans(docs, "doc_id").select("doc_id", "start")
     rows = docs.select("doc_id", F.explode_outer("zones").alias("z")).where("z is not null").select("doc_id", "z.*")
     return zones.assign_zones(points, rows).select("doc_id", F.col("start").alias("char_start"), "zone_hint", "zone_default_role")
 
 
+def zones_of_spans(s, d):
+    """The zone, citations first, of every resolved span, as an interval join keyed by document."""
+    docs = _docs(s, d).withColumn("spans", _resolved(F.col("text"))).withColumn("zones", zones.zones(F.col("text")))
+    points = explode_spans(docs, "doc_id").select("doc_id", "start", "end", "type")
+    rows = docs.select("doc_id", F.posexplode_outer("zones").alias("ord", "z")).where("z is not null").select("doc_id", "ord", "z.*")
+    return zones.assign_zones(points, rows).select("doc_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "type", "zone_hint", "zone_default_role")
+
+
 def doctrine_authors(s, d):
     return _spans(s, d, citations.doctrine_authors, "type")
 
@@ -165,10 +173,12 @@ def entity_spans(s, d):
     return explode_spans(rows, "doc_id").select("doc_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", "type")
 
 
+def _resolved(t: Column) -> Column:
+    return resolve_overlaps(F.concat(identifiers.identifiers(t), citations.citations(t), caption.caption_spans(t)))
+
+
 def resolved_spans(s, d):
-    t = F.col("text")
-    both = F.concat(identifiers.identifiers(t), citations.citations(t), caption.caption_spans(t))
-    return _spans(s, d, lambda _t: resolve_overlaps(both), "type", "source")
+    return _spans(s, d, _resolved, "type", "source")
 
 
 def entity_cards(s, d):
@@ -330,9 +340,21 @@ def rect_groups(s, d):
     return g.groupBy("doc_id", "page", "group_no").agg(F.count("*").alias("n"), F.min("ord").alias("first_span"))
 
 
+def _sized(s, d):
+    return _boxes(s, d).withColumn("size", F.round(F.col("y1") - F.col("y0"), 3)).withColumn("font", F.lit("Times"))
+
+
+def spans_at_points(s, d):
+    """The span found at the middle of every span that has a box; ``point_id`` is its span_id."""
+    b = _sized(s, d)
+    points = b.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    points = points.select("doc_id", "page", F.col("ord").alias("point_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return layout.span_at(points, b, ["doc_id", "page"]).select("doc_id", "page", "point_id", "size", "font")
+
+
 def span_at_point(s, d):
-    """The span found at the middle of every tenth line of a page."""
-    b = _boxes(s, d).withColumn("size", F.round(F.col("y1") - F.col("y0"), 3)).withColumn("font", F.lit("Times"))
+    """The span found at the middle of the first span of a page (what its SQL states); ``spans_at_points`` looks up every span."""
+    b = _sized(s, d)
     points = b.where("y0 is not null").groupBy("doc_id", "page").agg(F.min_by(F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y")), "ord").alias("p"))
     points = points.select("doc_id", "page", F.lit(1).alias("point_id"), "p.x", "p.y")
     return layout.span_at(points, b, ["doc_id", "page"]).select("doc_id", "page", "size", "font")
@@ -458,9 +480,9 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 
 NAMES = """latest_documents dni_spans cuit_spans cbu_spans email_spans phone_spans plate_spans passport_spans resolved_identifiers identifiers_by_type placeholder_numbering email_redacted
-identifiers_redacted caption_zone signature_zone jurisprudence_zones doctrine_zones document_zones assign_zone doctrine_authors case_names caption_parties entity_cleanup entity_spans resolved_spans
+identifiers_redacted caption_zone signature_zone jurisprudence_zones doctrine_zones document_zones assign_zone zones_of_spans doctrine_authors case_names caption_parties entity_cleanup entity_spans resolved_spans
 entity_cards role_policy parse_role policy_of_parties coref_clusters coref_audit coref_replacements classify_requests classified_cards full_pipeline company_filter initials name_variants
-party_validation parsed_parties lite_audit lite_redaction lite_issues run_edits run_coverage ocr_pages rect_groups span_at_point token_counts document_chunks length_ratio regex_leaks
+party_validation parsed_parties lite_audit lite_redaction lite_issues run_edits run_coverage ocr_pages rect_groups span_at_point spans_at_points token_counts document_chunks length_ratio regex_leaks
 missing_placeholders obvious_leaks public_ids public_audit audit_metrics audit_summary audit_outliers audit_csv batch_tally review_queue review_counts latest_state identifier_counts_by_day
 stream_redaction""".split()
 
