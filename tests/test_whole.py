@@ -1,5 +1,7 @@
 """Queries over all spans and zones equal brute force on the smallest tables."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from velario.operators import zones
@@ -44,3 +46,14 @@ def test_spans_at_points(spark, tables):
     found = catalog.queries()["spans_at_points"](spark, tables).collect()
     assert len(found) == len(want) and {r.point_id: (r.doc_id, r.page, round(r["size"], 2)) for r in found} == want
     assert len(want) > len(pages)
+
+
+def test_identifier_counts_by_type(spark, tables):
+    first: dict = {}
+    for name in ("pdf_documents", "docx_documents"):
+        for r in spark.read.parquet(f"{tables}/{name}.parquet").select("doc_id", "loaded_at").collect():
+            first[r.doc_id] = min(first.get(r.doc_id, r.loaded_at), r.loaded_at)
+    want = Counter((first[r.doc_id].date(), r.type) for r in catalog.queries()["resolved_identifiers"](spark, tables).collect())
+    rows = catalog.queries()["identifier_counts_by_type"](spark, tables).collect()
+    assert {(r.window_start.date(), r.type): r.n for r in rows} == want and len(rows) == len(want)
+    assert len({t for _, t in want}) > 3

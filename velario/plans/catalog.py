@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velario.operators import caption, cards, chunking, citations, coref, entities, identifiers, layout, metrics, names, predict, publish, review, roles, runs, validate, zones
@@ -463,12 +463,22 @@ def latest_state(s, d):
 
 
 def identifier_counts_by_day(s, d):
-    """The windowed counts that the stream keeps, over the table."""
+    """E-mail addresses of DOCX documents by day (what its SQL states); ``identifier_counts_by_type`` has all types and tables."""
     docs = tables.read(s, d, "docx_documents").select("doc_id", F.col("full_text").alias("text"), "loaded_at").dropDuplicates(["doc_id"])
     rows = docs.select("loaded_at", F.explode_outer(identifiers.email(F.col("text"))).alias("s")).where("s is not null")
     return rows.groupBy(F.window("loaded_at", "1 day").start.alias("window_start")).agg(F.count("*").alias("n"))
 
 
+def identifier_counts_by_type(s, d):
+    """The windowed counts that the stream keeps, over both tables: each document once, at its first delivery."""
+    both = None
+    for name in ("pdf_documents", "docx_documents"):
+        t = tables.read(s, d, name).select("doc_id", F.col("full_text").alias("text"), "loaded_at")
+        both = t if both is None else both.unionAll(t)
+    first = both.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("loaded_at")))).where("_n = 1")
+    return stream.identifier_counts(first.select("doc_id", "text", "loaded_at"))
+
+
 def stream_redaction(s, d):
     docs = _docs(s, d).select("doc_id", "text", F.lit(None).cast("timestamp").alias("loaded_at"))
     return stream.redacted(docs).select("doc_id", "n_spans", "redacted")
@@ -483,7 +493,7 @@ NAMES = """latest_documents dni_spans cuit_spans cbu_spans email_spans phone_spa
 identifiers_redacted caption_zone signature_zone jurisprudence_zones doctrine_zones document_zones assign_zone zones_of_spans doctrine_authors case_names caption_parties entity_cleanup entity_spans resolved_spans
 entity_cards role_policy parse_role policy_of_parties coref_clusters coref_audit coref_replacements classify_requests classified_cards full_pipeline company_filter initials name_variants
 party_validation parsed_parties lite_audit lite_redaction lite_issues run_edits run_coverage ocr_pages rect_groups span_at_point spans_at_points token_counts document_chunks length_ratio regex_leaks
-missing_placeholders obvious_leaks public_ids public_audit audit_metrics audit_summary audit_outliers audit_csv batch_tally review_queue review_counts latest_state identifier_counts_by_day
+missing_placeholders obvious_leaks public_ids public_audit audit_metrics audit_summary audit_outliers audit_csv batch_tally review_queue review_counts latest_state identifier_counts_by_day identifier_counts_by_type
 stream_redaction""".split()
 
 
