@@ -272,6 +272,24 @@ def test_leaks_both_ways(spark):
     assert leaks.leaks(df, it.limit(0)).count() == 0 and leaks.leaks(df.limit(0), it).count() == 0
 
 
+def test_hot_hashes_are_spread_and_nothing_is_lost(spark):
+    left = spark.createDataFrame([(7, 0, d, a) for d in range(20) for a in range(10)] + [(8, 0, 1, 1), (7, 1, 1, 1)], "h bigint, mask int, doc_id bigint, at int")
+    right = spark.createDataFrame([(7, 0, i, 3) for i in range(5)] + [(8, 0, 1, 1), (7, 1, 2, 2)], "h bigint, mask int, item_id bigint, item_at int")
+    a, b = leaks.salted(left, right, 3)
+    assert a.where("h = 7 and mask = 0").select("salt").distinct().count() > 10 and a.where("h = 8 or mask = 1").select("salt").distinct().count() == 1
+    got = a.join(b, ["h", "mask", "salt"]).drop("salt").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, left.join(right, ["h", "mask"]).collect())) and len(got) == 1002
+
+
+def test_boilerplate_of_many_items_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(leaks.salted, "__defaults__", (3,))
+    same = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(i, f"{same} fin{i}") for i in range(8)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(d, f"antes{d} {same} luego") for d in range(9)], "doc_id bigint, text string")
+    got = leaks.leaks(docs, items, 0).where("run_words >= 12").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in range(9) for i in range(8)} and {r.run_words for r in got} == {20}
+
+
 def test_substitutions_are_tolerated(spark):
     item = [f"w{i}" for i in range(24)]
     said = item.copy()

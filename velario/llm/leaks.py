@@ -7,7 +7,8 @@ tolerates substitutions.
 
 Two ways, chosen by a checked size: while the items' windows number at most ``most_windows`` their sorted hashes are
 broadcast (documents stay where they are: no shuffle); beyond that, hashes of both sides are joined in a shuffle, where
-item hashes occurring more often than the bound are salted by position and no text is moved.
+item hashes occurring more often than a bound (the most frequent of them, a bounded number) are salted by position and no
+text is moved.
 
 Defined results: null and empty texts and items have no windows and give no rows; repeated rows give one row; texts with
 fewer than ``RUN`` words never match; other columns are ignored.
@@ -28,6 +29,8 @@ RUN = 12
 MASKS = ("110110101101", "101011110110", "011101011011")
 #: A tolerant overlap must be at least so long and so alike.
 TOLERANT_WORDS, TOLERANT_SHARE = 12, 0.75
+#: In a shuffle, item hashes occurring more often than HOT are spread over SALTS tasks; at most MOST_HOT of them are broadcast.
+HOT, SALTS, MOST_HOT = 100, 32, 10_000
 
 
 def masked(h: np.ndarray) -> list[np.ndarray]:
@@ -127,10 +130,21 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
     return arrow_rows(df.select(key, "text").where(F.length("text") > 2 * RUN), f"h bigint, mask int, {key} bigint, at int", run, 64)
 
 
+def salted(left: DataFrame, right: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: windows of documents under a hot item hash get one by document and position, the items' all of them."""
+    often = right.groupBy("h", "mask").agg(F.count("*").alias("n")).where(F.col("n") > hot).orderBy(F.desc("n"), "h", "mask").limit(MOST_HOT)
+    often = F.broadcast(often.select("h", "mask", F.lit(True).alias("hot")))
+    one = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(often, ["h", "mask"], "left").withColumn("salt", one).drop("hot")
+    return left, right.join(often, ["h", "mask"], "left").withColumn("salt", F.explode(every)).drop("hot")
+
+
 def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Two-sided join on masked hashes; a window equal under all masks is equal, as the masks cover every position."""
     right = _windows(items, "item_id").withColumnRenamed("at", "item_at")
-    hits = _windows(docs, "doc_id").join(right, ["h", "mask"])
+    left, right = salted(_windows(docs, "doc_id"), right)
+    hits = left.join(right, ["h", "mask", "salt"]).drop("salt")
     same = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("d"), "at").agg(F.countDistinct("mask").alias("n"))
     runs = same.withColumn("exact", F.col("n") == len(MASKS))
     from pyspark.sql import Window
