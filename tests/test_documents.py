@@ -83,7 +83,7 @@ def test_folder_scan_and_audits(spark, tmp_path):
     (tmp_path / "a_audit.json").write_text('{"n_replacements": 3, "parties": [{"nombre": "A"}], "warnings": []}')
     (tmp_path / "b_audit.json").write_text("{broken")
     (tmp_path / "c_audit_publico.json").write_text("{}")
-    assert [r.stem for r in files.folder(spark, str(tmp_path)).collect()] == ["B", "a"]
+    assert sorted(r.stem for r in files.folder(spark, str(tmp_path)).collect()) == ["B", "a"]
     a = files.audits(spark, str(tmp_path)).collect()
     assert [(r.stem, r.n_replacements, r.model) for r in a] == [("a", 3, None)]
     assert files.state(spark, str(tmp_path / "none")).count() == 0
@@ -109,8 +109,6 @@ def test_sentences_and_packing(spark):
     plain = df.select(chunking.pack(F.col("s"), 8).alias("c")).first().c
     assert all(x.token_count <= 8 for x in plain)
     assert [(x["index"], x.char_start, x.char_end, x.token_count) for x in plain] == chunking.pack_rows([(x.text, x.start, x.end) for x in s], 8)
-    long = df.where("t like 'El%'").select(F.posexplode("s").alias("sent_no", "x")).select(F.lit(1).cast("bigint").alias("doc_id"), "sent_no", "x.*")
-    assert sorted(map(tuple, chunking.pack_grouped(long, 8).drop("doc_id").collect())) == chunking.pack_rows([(x.text, x.start, x.end) for x in s], 8)
     with pytest.raises(ValueError):
         chunking.pack(F.col("s"), 0)
 

@@ -1,34 +1,42 @@
 """Sentences, token counts and packing of sentences into chunks.
 
-Packing is a fold with a reset and needs the whole document, which is one row; documents of very many sentences go through
-``pack_grouped``, which streams the groups in Arrow batches.
+Packing is a fold with a reset and needs the whole document, which is one row. ``pack_rows`` is the same fold outside the JVM, which
+tests compare it with.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from velario.functions.text import MATCH, UNICODE, find_all
+from velario.functions.text import MATCH, UNICODE, find_all, let
 
 SENTENCE = "struct<text:string,start:int,end:int>"
 CHUNK = f"struct<index:int,total:int,char_start:int,char_end:int,token_count:int,sentences:array<{SENTENCE}>>"
 #: Abbreviations after which a sentence goes on (fixed values).
 ABBREVIATIONS = "Sr|Sra|Srta|Dr|Dra|Lic|Ing|Prof|Av|Bv|art|arts|inc|fs|pág|págs|p|pp|ob|cit|conf|cfr|Cám|Civ|Com|Nro|núm|EE|UU|vs|etc|ej|S\\.A|S\\.R\\.L|D\\.N\\.I|L\\.E|L\\.C"
-BOUNDARY = UNICODE + rf"(?<!\b(?:{ABBREVIATIONS}|[A-ZÁÉÍÓÚÑ]))[.!?…]+[\"»”')\]]*\s+(?=[\"«“'(\[¿¡—-]*[A-ZÁÉÍÓÚÑ0-9])|\n\s*\n\s*"
+#: The word before a mark is looked at after the mark is found, not at every place of the text.
+BOUNDARY = UNICODE + rf"[.!?…](?<!\b(?:{ABBREVIATIONS}|[A-ZÁÉÍÓÚÑ])[.!?…])[.!?…]*[\"»”')\]]*\s+(?=[\"«“'(\[¿¡—-]*[A-ZÁÉÍÓÚÑ0-9])|\n\s*\n\s*"
 
 
 def sentences(text: Column) -> Column:
     """Sentences with exact offsets, none blank: text[start:end] is the sentence, blanks at its end included as in the text."""
-    cuts = find_all(text, BOUNDARY)
-    ends = F.concat(F.transform(cuts, lambda m: m["end"]), F.array(F.length(text)))
-    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda m: m["end"]))
-    made = F.zip_with(starts, ends, lambda a, b: F.struct(F.substring(text, a + 1, b - a).alias("text"), a.alias("start"), b.alias("end")))
-    return F.when(text.isNull(), F.expr(f"cast(array() as array<{SENTENCE}>)")).otherwise(F.filter(made, lambda s: F.regexp_replace(s["text"], r"(?U)\s+", "") != ""))
+
+    def in_text(t: Column) -> Column:
+        marks = F.array_append(F.regexp_extract_all(t, F.lit(BOUNDARY), F.lit(0)), "")
+        return let(F.zip_with(F.split(t, BOUNDARY, -1), marks, lambda part, mark: F.concat(part, mark)), placed)
+
+    def placed(parts: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            return F.array_append(acc, F.struct(p.alias("text"), F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + F.length(p)).alias("end")))
+
+        return F.filter(F.aggregate(parts, none, step), lambda s: s["text"].rlike(r"(?U)\S"))
+
+    none = F.expr(f"cast(array() as array<{SENTENCE}>)")
+    return F.when(text.isNull(), none).otherwise(let(text, in_text))
 
 
 def tokens(text: Column) -> Column:
@@ -144,15 +152,4 @@ def pack_rows(sents: list[tuple[str, int, int]], most: int, overlap: int = 0) ->
     return out
 
 
-def pack_grouped(sents: DataFrame, most: int, overlap: int = 0) -> DataFrame:
-    """doc_id, index, char_start, char_end, token_count from rows doc_id, sent_no, text, start, end."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("sent_no")
-        rows = pack_rows(list(zip(g["text"], g["start"], g["end"], strict=True)), most, overlap)
-        return pd.DataFrame([(g["doc_id"].iloc[0], *r) for r in rows], columns=["doc_id", "index", "char_start", "char_end", "token_count"])
-
-    return sents.groupBy("doc_id").applyInPandas(run, "doc_id long, index int, char_start int, char_end int, token_count int")
-
-
-__all__ = ["MATCH", "sentences", "tokens", "split_oversized", "pack", "chunk_text", "pack_rows", "pack_grouped"]
+__all__ = ["MATCH", "sentences", "tokens", "split_oversized", "pack", "chunk_text", "pack_rows"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from velario.functions.text import UNICODE_I, find_all, fold_accents, squash, title_case, words
+from velario.functions.text import UNICODE_I, find_free, fold_accents, let, squash, title_case, words
 from velario.operators.spans import no_spans, resolve_overlaps, span
 
 #: Legal forms without and with dots, and words that name organisations (fixed values).
@@ -41,14 +41,17 @@ def _letters(x: Column) -> Column:
 
 def initials(name: Column) -> Column:
     """SURNAME, NAMES -> S., N.; Name Surname -> N. S.; a company keeps its legal form, which must stand apart from the name."""
-    n = F.trim(name)
     forms = "|".join(sorted((d.replace(".", r"\.") + "|" + s for s, d in FORMS), key=len, reverse=True))
-    form = F.regexp_extract(F.upper(n), rf"(?:^|[ ,.;])({forms})$", 1)
-    dotted = F.concat(F.regexp_replace(F.replace(form, F.lit(".")), r"(.)", "$1."))
-    base = F.trim(F.substring(n, F.lit(1), F.length(n) - F.length(form)))
-    surname, given = F.trim(F.substring_index(n, ",", 1)), F.trim(F.regexp_replace(n, r"^[^,]*,", ""))
-    person = F.when(~F.contains(n, F.lit(",")), _letters(n)).when(given == "", _letters(surname)).otherwise(F.concat(_letters(surname), F.lit(", "), _letters(given)))
-    return F.when(n == "", n).when(form == "", person).when(base == "", n).otherwise(F.concat(_letters(base), F.lit(" "), dotted))
+
+    def of(x: Column) -> Column:
+        n, form = x["n"], x["form"]
+        dotted = F.concat(F.regexp_replace(F.replace(form, F.lit(".")), r"(.)", "$1."))
+        base = F.trim(F.substring(n, F.lit(1), F.length(n) - F.length(form)))
+        surname, given = F.trim(F.substring_index(n, ",", 1)), F.trim(F.regexp_replace(n, r"^[^,]*,", ""))
+        person = F.when(~F.contains(n, F.lit(",")), _letters(n)).when(given == "", _letters(surname)).otherwise(F.concat(_letters(surname), F.lit(", "), _letters(given)))
+        return F.when(n == "", n).when(form == "", person).when(base == "", n).otherwise(F.concat(_letters(base), F.lit(" "), dotted))
+
+    return let(F.trim(name), lambda n: let(F.struct(n.alias("n"), F.regexp_extract(F.upper(n), rf"(?:^|[ ,.;])({forms})$", 1).alias("form")), of))
 
 
 def split_name(name: Column) -> Column:
@@ -72,36 +75,50 @@ def _with_forms(short: str, dotted: str):
     return lambda base: F.array(F.concat(base, F.lit(f" {short}")), F.concat(base, F.lit(f" {dotted}")))
 
 
+def _styles(forms: Column) -> Column:
+    """Every form as it is, in capitals and with capital initials."""
+    return F.flatten(F.transform(forms, lambda x: F.array(x, F.upper(x), title_case(x))))
+
+
+def _company_forms(n: Column) -> Column:
+    """A name that ends with a legal form, with both spellings of it; none for other names."""
+    forms = sorted(((form, short, dotted) for short, dotted in FORMS for form in (short, dotted)), key=lambda x: -len(x[0]))
+    table = F.array(*[F.struct(F.lit(f).alias("form"), F.lit(s).alias("short"), F.lit(d).alias("dotted")) for f, s, d in forms])
+    ends = F.filter(table, lambda f: F.endswith(F.upper(n), f["form"]) & F.translate(F.substring(n, F.length(n) - F.length(f["form"]), F.lit(1)), " ,.;", "").isin("") & (F.length(n) > F.length(f["form"])))
+
+    def of(f: Column) -> Column:
+        base = F.regexp_replace(F.substring(n, F.lit(1), F.length(n) - F.length(f["form"])), r"[ ,.;]+$", "")
+        return F.when(base != "", F.flatten(F.transform(_styles(F.array(base)), lambda b: F.array(F.concat_ws(" ", b, f["short"]), F.concat_ws(" ", b, f["dotted"])))))
+
+    return F.coalesce(let(F.try_element_at(ends, F.lit(1)), lambda f: F.when(f.isNotNull(), of(f))), _strings())
+
+
 def variants(name: Column) -> Column:
     """Full forms of a name in a stable order, never a surname alone: parts in both orders, short given names, three styles of
     capitals, forms without accents; for a company both spellings of its legal form."""
-    n = squash(name)
-    styles = lambda x: F.array(x, F.upper(x), title_case(x))
-    # company
-    upper = F.upper(n)
-    company = _strings()
-    for short, dotted in reversed(FORMS):
-        for form in (short, dotted):
-            base = F.regexp_replace(F.substring(n, F.lit(1), F.length(n) - len(form)), r"[ ,.;]+$", "")
-            forms = F.flatten(F.transform(styles(base), _with_forms(short, dotted)))
-            company = F.when(upper.rlike(r"(?:^|[ ,.;])" + form.replace(".", r"\.") + "$") & (base != ""), forms).otherwise(company)
-    # person
-    comma = F.contains(n, F.lit(","))
+    long = lambda v: F.length(v) > 3
 
-    def of(r: Column) -> Column:
-        s, g = r["surname"], r["given"]
-        gs = words(g)
-        short = F.element_at(gs, 1)
-        with_comma = F.when(comma, styles(F.concat_ws(", ", s, g))).otherwise(_strings())
-        brief = F.when(F.size(gs) > 1, F.concat(styles(F.concat_ws(" ", short, s)), styles(F.concat_ws(" ", s, short)))).otherwise(_strings())
-        return F.concat(with_comma, styles(F.concat_ws(" ", s, g)), styles(F.concat_ws(" ", g, s)), brief)
+    def person(n: Column) -> Column:
+        comma = F.contains(n, F.lit(","))
+
+        def of(r: Column) -> Column:
+            s, g = r["surname"], r["given"]
+            with_comma = F.when(comma, F.array(F.concat_ws(", ", s, g))).otherwise(_strings())
+            brief = let(words(g), lambda gs: F.when(F.size(gs) > 1, F.array(F.concat_ws(" ", gs[0], s), F.concat_ws(" ", s, gs[0]))).otherwise(_strings()))
+            return _styles(F.concat(with_comma, F.array(F.concat_ws(" ", s, g), F.concat_ws(" ", g, s)), brief))
+
+        def both(readings: Column) -> Column:
+            alone = F.when(comma, F.element_at(readings, 1)["given"] == "").otherwise(F.size(words(n)) < 2)
+            forms = F.array_distinct(F.filter(F.transform(F.concat(F.array(n), F.flatten(F.transform(readings, of))), squash), long))
+            plain = let(forms, lambda fs: F.array_distinct(F.concat(fs, F.filter(F.transform(fs, fold_accents), long))))
+            return F.when(alone, F.array(n)).otherwise(plain)
+
+        return let(_readings(n), both)
+
+    def of_name(n: Column) -> Column:
+        return F.when(n == "", _strings()).otherwise(let(_company_forms(n), lambda c: F.when(F.size(c) > 0, F.array_distinct(F.filter(c, long))).otherwise(person(n))))
 
-    readings = _readings(n)
-    forms = F.concat(F.array(n), F.flatten(F.transform(readings, of)))
-    forms = F.array_distinct(F.filter(F.transform(forms, squash), lambda v: F.length(v) > 3))
-    person = F.array_distinct(F.concat(forms, F.filter(F.transform(forms, fold_accents), lambda v: F.length(v) > 3)))
-    alone = (comma & (F.element_at(readings, 1)["given"] == "")) | (~comma & (F.size(words(n)) < 2))
-    return F.when(F.coalesce(n, F.lit("")) == "", _strings()).when(F.size(company) > 0, F.array_distinct(F.filter(company, lambda v: F.length(v) > 3))).when(alone, F.array(n)).otherwise(person)
+    return let(F.coalesce(squash(name), F.lit("")), of_name)
 
 
 #: A letter with its accents, and any vowel (fixed values).
@@ -110,11 +127,11 @@ _VOWEL = "[aeiouáéíóúàèìòùâêîôûäëïöü]"
 
 
 def _char(c: Column, loose: Column) -> Column:
-    base = F.lower(fold_accents(c))
-    out = F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))
-    for k, v in _CLASS.items():
-        out = F.when((base == k) & ((F.lit(k == "n")) | ~loose), F.lit(v)).otherwise(out)
-    return F.when(base.isin("a", "e", "i", "o", "u") & loose, F.lit(_VOWEL)).otherwise(out)
+    def of(base: Column) -> Column:
+        tight = F.element_at(F.create_map(*[F.lit(x) for kv in _CLASS.items() for x in kv]), base)
+        return F.when(base.isin("a", "e", "i", "o", "u") & loose, F.lit(_VOWEL)).otherwise(F.coalesce(tight, F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))))
+
+    return let(F.lower(fold_accents(c)), of)
 
 
 def _pattern(word: Column, loose: bool) -> Column:
@@ -139,32 +156,78 @@ def flexible(variant: Column) -> Column:
     return F.concat(F.lit(UNICODE_I), F.array_join(F.transform(words(variant), one), r"\s+"))
 
 
-def longer_forms(name: Column, text: Column) -> Column:
-    """Longer forms of a name in the text: first name, one to four capitalised or linking words, surname; longest first."""
-    middle = r"(?:(?-i:[A-ZÁÉÍÓÚÜÑ])[A-Za-zÁÉÍÓÚÜÑáéíóúüñ\.]{1,24}|de|del|la|las|los|y|e)"
+#: Links inside a name, most words between first name and surname, least length of either and of the whole.
+LINKS = ("de", "del", "la", "las", "los", "y", "e")
+BETWEEN, LEAST_PART, LEAST_FORM = 4, 3, 6
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, r"(?U)^[^\w]+|[^\w]+$", "")
+
+
+def _unmarked(word: Column) -> Column:
+    return F.regexp_replace(word, r"(?U)[^\w]+$", "")
+
+
+def _same_key(word: Column) -> Column:
+    """What two spellings of a word share: case and accents aside."""
+    return F.lower(fold_accents(word))
+
+
+def keyed(text: Column) -> Column:
+    """struct<words, keys> of a text: its words, and what each begins with, opening marks, case and accents aside."""
+    flat = _same_key(F.regexp_replace(squash(text), r"(?U)(?<![^ ])[^\w ]+(?=\w)", ""))
+    return F.struct(words(text).alias("words"), F.split(flat, " ").alias("keys"))
+
+
+def longer_forms(name: Column, text: Column, tokens: Column | None = None) -> Column:
+    """Longer forms of a name in the text: first name, one to four capitalised or linking words, surname; longest first.
+
+    The words of the text (``tokens``: its ``keyed``, worked out by the caller where many names meet one text) are looked up by key; from
+    every place of the first name the surname is sought among the words behind it.
+    """
     n = squash(name)
+    tokens = keyed(text) if tokens is None else tokens
+    ws, keys = tokens["words"], tokens["keys"]
 
     def of(r: Column) -> Column:
-        given = F.filter(F.transform(words(r["given"]), lambda w: F.regexp_replace(w, r"\.+$", "")), lambda w: F.length(w) >= 3)
-        first = F.try_element_at(given, F.lit(1))
-        p = F.concat(F.lit(UNICODE_I), _pattern(first, False), F.lit(rf"(?:\s+{middle}){{1,4}}\s+"), _pattern(r["surname"], False))
-        return F.when(first.isNotNull() & (F.length(r["surname"]) >= 3), F.regexp_extract_all(text, p, F.lit(0))).otherwise(_strings())
+        given = F.filter(F.transform(words(r["given"]), lambda w: F.regexp_replace(w, r"\.+$", "")), lambda w: F.length(w) >= LEAST_PART)
+        first, surname = _same_key(F.try_element_at(given, F.lit(1))), _unmarked(_same_key(r["surname"]))
+        size = F.size(words(r["surname"]))
+
+        def ends_at(i: Column, k: int) -> Column:
+            """The form from word i on with k words between, null if there is none."""
+            last = _unmarked(_same_key(F.array_join(F.slice(ws, i + 2 + k, size), " ")))
+            named = F.forall(F.slice(ws, i + 2, F.lit(k)), lambda w: w.isin(*LINKS) | w.rlike(r"^[A-ZÁÉÍÓÚÜÑ][A-Za-zÁÉÍÓÚÜÑáéíóúüñ.]{1,24}$"))
+            return F.when((last == surname) & named, F.array_join(F.slice(ws, i + 1, k + 1 + size), " "))
+
+        starts = F.filter(F.transform(keys, lambda key, i: F.struct(key.alias("f"), i.alias("i"))), lambda x: x["f"] == first)
+        forms = F.flatten(F.transform(starts, lambda x: F.array(*[ends_at(x["i"], k) for k in range(BETWEEN, 0, -1)])))
+        return F.when(first.isNotNull() & (F.length(r["surname"]) >= LEAST_PART), F.transform(F.filter(forms, lambda v: v.isNotNull()), _bare)).otherwise(_strings())
 
     has = F.contains(n, F.lit(",")) | (F.size(words(n)) >= 2)
-    found = F.array_distinct(F.transform(F.flatten(F.transform(_readings(n), of)), squash))
-    found = F.filter(found, lambda v: (F.lower(v) != F.lower(n)) & (F.length(v) > 5))
+    found = F.array_distinct(F.flatten(F.transform(_readings(n), of)))
+    found = F.filter(found, lambda v: (F.lower(v) != F.lower(n)) & (F.length(v) >= LEAST_FORM))
     ordered = F.transform(F.array_sort(F.transform(found, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda x: x["v"])
     return F.when(has, ordered).otherwise(_strings())
 
 
-def name_spans(text: Column, forms: Column, placeholder: Column | None = None, party: Column | None = None, role: Column | None = None) -> Column:
-    """Disjoint occurrences of any of the forms; of overlapping ones the longer stays."""
+def bones(x: Column) -> Column:
+    """What a form and every text that its tolerant pattern matches have in common: consonants but s, digits and marks, in order."""
+    return F.regexp_replace(F.lower(fold_accents(x)), r"(?U)[aeiousſ\s]+", "")
+
+
+def name_spans(text: Column, forms: Column, placeholder: Column | None = None, party: Column | None = None, role: Column | None = None, held: Column | None = None) -> Column:
+    """Disjoint occurrences of any of the forms; of overlapping ones the longer stays. ``held``: ``bones`` of the text, worked out once;
+    a form whose own bones they do not hold cannot match, and its pattern is not tried."""
 
     # the pattern of a form also matches the form itself, and forms that differ in capitals or accents share one pattern
     usable = F.filter(forms, lambda v: F.length(v) >= 4)
     distinct = F.array_distinct(F.transform(usable, lambda v: F.lower(fold_accents(v))))
+    if held is not None:
+        distinct = F.filter(distinct, lambda v: F.contains(held, bones(v)))
     patterns = F.array_distinct(F.transform(distinct, flexible))
-    found = F.flatten(F.transform(patterns, lambda p: find_all(text, p)))
+    found = F.flatten(F.transform(patterns, lambda p: find_free(text, p)))
     hits = F.array_distinct(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))))
     extra = {k: v for k, v in (("placeholder", placeholder), ("party_name", party), ("party_rol", role)) if v is not None}
     made = F.transform(hits, lambda m: span(start=m["start"], end=m["end"], text=m["text"], type=F.lit("PER"), source=F.lit("text_search"), confidence=F.lit(0.99), **extra))
@@ -191,28 +254,33 @@ def corrected(name: Column, ready: Column) -> Column:
     """The name with words respelled as the text has them where only doubled consonants and accents differ; null if none differs."""
 
     def fixed(w: Column) -> Column:
-        same = F.filter(ready["words"], lambda p: p["k"] == _key(w))
-        return F.transform(F.array(F.try_element_at(same, F.lit(1))["w"]), lambda first: F.when(first.isNotNull() & (F.lower(first) != F.lower(w)), first).otherwise(w))[0]
+        first = let(_key(w), lambda k: F.try_element_at(F.filter(ready["words"], lambda p: p["k"] == k), F.lit(1))["w"])
+        return let(first, lambda x: F.when(x.isNotNull() & (F.lower(x) != F.lower(w)), x).otherwise(w))
 
-    def words_of(x: Column) -> Column:
-        return F.array_join(F.transform(words(x), fixed), " ")
+    def parts(n: Column) -> Column:
+        comma = F.contains(n, F.lit(","))
+        return F.transform(F.when(comma, F.array(F.substring_index(n, ",", 1), F.regexp_replace(n, r"^[^,]*,", ""))).otherwise(F.array(n)), squash)
 
-    n = squash(name)
-    out = F.when(F.contains(n, F.lit(",")), F.concat(words_of(F.substring_index(n, ",", 1)), F.lit(", "), words_of(F.regexp_replace(n, r"^[^,]*,", "")))).otherwise(words_of(n))
-    same = F.when(F.contains(n, F.lit(",")), F.concat(squash(F.substring_index(n, ",", 1)), F.lit(", "), squash(F.regexp_replace(n, r"^[^,]*,", "")))).otherwise(n)
-    return F.when(out != same, out)
+    def of(ps: Column) -> Column:
+        out = F.array_join(F.transform(ps, lambda x: F.array_join(F.transform(words(x), fixed), " ")), ", ")
+        return let(out, lambda x: F.when(x != F.array_join(ps, ", "), x))
+
+    return let(squash(name), lambda n: let(parts(n), of))
 
 
 def validated(name: Column, ready: Column) -> Column:
     """The name as it may be used: unchanged if the text holds it in some order, case or without accents; respelled if only
     doubled consonants differ; null if it is too short, a company, or not in the text. ``ready`` is ``prepared(text)``."""
-    n = squash(name)
-    ws = words(n)
-    inverted = F.concat_ws(" ", F.trim(F.regexp_replace(n, r"^[^,]*,", "")), F.trim(F.substring_index(n, ",", 1)))
-    turns = F.array(F.concat_ws(" ", F.array_join(F.slice(ws, 2, F.size(ws)), " "), F.element_at(ws, 1)), F.concat_ws(" ", F.element_at(ws, -1), F.array_join(F.slice(ws, 1, F.size(ws) - 1), " ")))
-    forms = F.when(F.contains(n, F.lit(",")), F.array(n, inverted)).when(F.size(ws) >= 2, F.concat(F.array(n), turns)).otherwise(F.array(n))
-    held = F.exists(forms, lambda c: F.contains(ready["plain"], c) | F.contains(ready["low"], F.lower(c)) | F.contains(ready["flat"], fold_accents(F.lower(c))))
-    return F.when(name.isNull() | (F.length(name) < 3) | is_company(name), F.lit(None).cast("string")).when(held, name).otherwise(corrected(n, ready))
+
+    def of(n: Column, ws: Column) -> Column:
+        inverted = F.concat_ws(" ", F.trim(F.regexp_replace(n, r"^[^,]*,", "")), F.trim(F.substring_index(n, ",", 1)))
+        turns = F.array(F.concat_ws(" ", F.array_join(F.slice(ws, 2, F.size(ws)), " "), F.element_at(ws, 1)), F.concat_ws(" ", F.element_at(ws, -1), F.array_join(F.slice(ws, 1, F.size(ws) - 1), " ")))
+        forms = F.when(F.contains(n, F.lit(",")), F.array(n, inverted)).when(F.size(ws) >= 2, F.concat(F.array(n), turns)).otherwise(F.array(n))
+        held = F.exists(forms, lambda c: F.contains(ready["plain"], c) | F.contains(ready["low"], F.lower(c)) | F.contains(ready["flat"], fold_accents(F.lower(c))))
+        return F.when(held, name).otherwise(corrected(n, ready))
+
+    usable = name.isNotNull() & (F.length(name) >= 3) & ~is_company(name)
+    return F.when(usable, let(squash(name), lambda n: let(words(n), lambda ws: of(n, ws))))
 
 
 def without_junk(name: Column) -> Column:

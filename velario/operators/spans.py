@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velario.functions.text import let
+
 FIELDS = {
     "start": "int", "end": "int", "text": "string", "type": "string", "source": "string", "confidence": "double", "normalized": "string", "formato": "string", "preserve": "boolean",
     "role_hint": "string", "default_role": "string", "from_caratula": "boolean", "placeholder": "string", "party_name": "string", "party_rol": "string",
@@ -66,8 +68,8 @@ def resolve_overlaps(spans: Column, by_priority: bool = True) -> Column:
         last = F.try_element_at(kept, F.lit(-1))
         wins = (rank(s) > rank(last)) | ((rank(s) == rank(last)) & (length(s) > length(last)))
         return (
-            F.when((F.size(kept) == 0) | (s["start"] >= last["end"]), F.concat(kept, F.array(s)))
-            .when(wins, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(s)))
+            F.when((F.size(kept) == 0) | (s["start"] >= last["end"]), F.array_append(kept, s))
+            .when(wins, F.array_append(F.slice(kept, 1, F.size(kept) - 1), s))
             .otherwise(kept)
         )
 
@@ -76,14 +78,24 @@ def resolve_overlaps(spans: Column, by_priority: bool = True) -> Column:
 
 def numbered(spans: Column) -> Column:
     """Replacements with [PREFIX_N]: equal texts of a type share a number, numbers follow the first appearance in the text."""
-    ordered = F.transform(F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), i.alias("i"), s.alias("s")))), lambda k: k["s"])
+    first = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["end"].alias("end"), s["type"].alias("type"), s["text"].alias("text"))))
+
+    def in_order(ordered: Column) -> Column:
+        # distinct (type, text) in order of appearance, numbered within the type: worked out once, then looked up by key
+        kinds = F.array_distinct(F.transform(ordered, lambda s: s["type"]))
+        values = F.flatten(F.transform(kinds, lambda k: F.transform(F.array_distinct(F.transform(F.filter(ordered, lambda s: s["type"] == k), lambda s: s["text"])), lambda x, n: F.struct(k.alias("k"), x.alias("x"), n.alias("n")))))
+        numbers = F.map_from_entries(F.transform(values, lambda v: F.struct(F.concat_ws("\0", v["k"], v["x"]), v["n"] + 1)))
+
+        def shown(n: Column) -> Column:
+            def one(s: Column) -> Column:
+                prefix = F.coalesce(lookup(s["type"], PREFIX), s["type"])
+                return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), prefix, F.lit("_"), F.element_at(n, F.concat_ws("\0", s["type"], s["text"])), F.lit("]")).alias("replacement"))
+
+            return F.transform(ordered, one)
 
-    def one(s: Column) -> Column:
-        same = F.array_distinct(F.transform(F.filter(ordered, lambda t: t["type"] == s["type"]), lambda t: t["text"]))
-        prefix = F.coalesce(lookup(s["type"], PREFIX), s["type"])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), prefix, F.lit("_"), F.array_position(same, s["text"]), F.lit("]")).alias("replacement"))
+        return let(numbers, shown)
 
-    return F.transform(ordered, one)
+    return let(first, in_order)
 
 
 def apply_replacements(text: Column, replacements: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velario.functions.text import squash
+from velario.functions.text import let, squash
 from velario.operators import caption, identifiers, metrics, names, publish, validate
 from velario.operators.spans import REPLACEMENTS, apply_replacements, numbered, resolve_overlaps
 
@@ -36,12 +36,12 @@ def with_parties(docs: DataFrame) -> DataFrame:
     return d.drop("_ready", "_caption", "_valid", "_known", "_fresh")
 
 
-def party_spans(text: Column, parties: Column) -> Column:
-    """Occurrences of every party, with the initials that replace them."""
+def party_spans(text: Column, parties: Column, tokens: Column | None = None, held: Column | None = None) -> Column:
+    """Occurrences of every party, with the initials that replace them. ``tokens``, ``held``: ``keyed`` and ``bones`` of the text."""
 
     def of(p: Column) -> Column:
-        forms = F.concat(names.variants(p["nombre"]), names.longer_forms(p["nombre"], text))
-        return names.name_spans(text, forms, names.initials(p["nombre"]), p["nombre"], p["rol"])
+        forms = F.concat(names.variants(p["nombre"]), names.longer_forms(p["nombre"], text, tokens))
+        return let(names.initials(p["nombre"]), lambda short: names.name_spans(text, forms, short, p["nombre"], p["rol"], held))
 
     return F.flatten(F.transform(parties, of))
 
@@ -58,7 +58,8 @@ def lite(docs: DataFrame, said: DataFrame, safe: bool = False) -> DataFrame:
     d = docs.join(parties, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<nombre:string,rol:string>>)")
     d = with_parties(d.withColumn("said", F.coalesce("said", none)))
-    d = d.withColumn("regex_spans", identifiers.identifiers(F.col("text"))).withColumn("name_spans", party_spans(F.col("text"), F.col("parties")))
+    d = d.withColumn("_tokens", names.keyed(F.col("text"))).withColumn("_bones", names.bones(F.col("text")))
+    d = d.withColumn("regex_spans", identifiers.identifiers(F.col("text"))).withColumn("name_spans", party_spans(F.col("text"), F.col("parties"), F.col("_tokens"), F.col("_bones"))).drop("_tokens", "_bones")
     d = d.withColumn("spans", resolve_overlaps(F.concat("regex_spans", "name_spans")))
     ids = numbered(F.filter("spans", lambda s: s["source"] == "regex"))
     people = F.transform(F.filter("spans", lambda s: s["source"] == "text_search"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(s["placeholder"], F.lit("[PERSONA]")).alias("replacement")))

@@ -9,10 +9,13 @@ from velario.operators.publish import extension, stem
 
 
 def folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".pdf", ".docx")) -> DataFrame:
-    """path, content, stem, ext of the files to process: known suffixes in any case, outputs left out, subfolders not entered."""
+    """path, content, stem, ext of the files to process: known suffixes in any case, outputs left out, subfolders not entered.
+
+    No order: sorting would move every content through a shuffle; callers that list files sort their paths.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "content")
     named = files.withColumn("stem", stem(F.col("path"))).withColumn("ext", F.lower(extension(F.col("path"))))
-    return named.where(F.col("ext").isin(*suffixes) & ~F.endswith("stem", F.lit("_anonimizado"))).orderBy("path")
+    return named.where(F.col("ext").isin(*suffixes) & ~F.endswith("stem", F.lit("_anonimizado")))
 
 
 AUDIT = """mode string, input string, output string, success boolean, elapsed_s double, parties array<struct<nombre: string, rol: string, placeholder: string, from_caratula: boolean>>,

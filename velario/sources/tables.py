@@ -10,18 +10,24 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes of a partition that is worth a task of its own.
+TASK_BYTES = 64 << 20
+
+
 def once(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row for each key: the latest delivery by ``order``, any of equal rows without it.
 
-    Without an order this is an aggregation that combines before its shuffle; with one, a window on the key, over partitions at least
-    as many as the cores, since what follows is work on the texts.
+    Without an order this is an aggregation that combines before its shuffle; with one, a window on the key. The engine decides the number
+    of partitions and splits them at run time; only a small table, which it would put into one task, is spread over the cores, since
+    what follows is work on the texts.
     """
     if not order:
         return df.dropDuplicates([key])
     w = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order])
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    cores = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * TASK_BYTES:
+        df = df.repartition(cores, key)
+    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
