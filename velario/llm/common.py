@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,10 +18,14 @@ _ACCENT = re.compile("[̀-ͯ]")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session names none (as in local tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    """The folder of spark.checkpoint.dir; one of its own only in local mode where none is named (as in tests), else an error."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    spark.sparkContext.setCheckpointDir("/tmp/velario-checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="velario-checkpoints-"))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -86,15 +91,22 @@ def multipliers(n: int, seed: int = 7) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(f"{seed}:{i}") | 1 for i in range(n)], np.uint64)
 
 
-def vocabulary(texts: list[DataFrame], least: int = 3, most: int = 60_000, letters: str = r"a-zA-ZáéíóúñüÁÉÍÓÚÑÜ") -> dict[str, int]:
-    """Counts of the most frequent ordinary words over all rows of one-column tables, by JVM expressions.
+#: A word is ordinary from this share of all words on (and from ``least`` occurrences in tables too small for a share): at most
+#: 1 / SHARE words can reach it, so what is collected and broadcast is bounded at every size, and nothing is cut off by a rank.
+SHARE = 5e-7
 
-    Every row is counted (partial aggregation before the shuffle); what reaches the driver is bounded by ``most`` words.
+
+def vocabulary(texts: list[DataFrame], least: int = 3, share: float = SHARE, letters: str = r"a-zA-ZáéíóúñüÁÉÍÓÚÑÜ") -> dict[str, int]:
+    """Counts of the ordinary words over all rows of one-column tables, by JVM expressions.
+
+    Every row is counted (partial aggregation before the shuffle); what reaches the driver is bounded by ``1 / share`` words.
     """
     counted = None
     for df in texts:
         column = df.columns[0]
-        part = df.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}\\p{{S}}\\p{{Cf}}])[{letters}]{{2,30}}(?![\\p{{L}}\\p{{M}}\\p{{N}}\\p{{S}}\\p{{Cf}}])"), F.lit(0))).alias("w"))
+        part = df.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(f"(?<![\\p{{L}}\\p{{M}}\\p{{N}}\\p{{S}}\\p{{Cf}}])[{letters}]{{2,}}(?![\\p{{L}}\\p{{M}}\\p{{N}}\\p{{S}}\\p{{Cf}}])"), F.lit(0))).alias("w"))
         counted = part if counted is None else counted.unionAll(part)
-    rows = counted.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect()
-    return {r.w: r.n for r in rows}
+    counts = counted.groupBy("w").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()  # a scalar subquery over the same exchange
+    rows = counts.where((F.col("n") >= least) & (F.col("n") >= total * F.lit(share))).collect()
+    return {r.w: r.n for r in sorted(rows, key=lambda r: (-r.n, r.w))}

@@ -5,13 +5,14 @@ with those of all windows of the documents, so that a window with substituted wo
 item. Around each hit the words themselves are compared (an exact check), which gives the exact run and the overlap that
 tolerates substitutions.
 
-Two ways, chosen by a checked size: while the items' windows number at most ``most_windows`` their sorted hashes are
-broadcast (documents stay where they are: no shuffle); beyond that, hashes of both sides are joined in a shuffle, where
-item hashes occurring more often than a bound (the most frequent of them, a bounded number) are salted by position and no
-text is moved.
+Two ways, chosen by a checked size, with the same rows: while the items' windows number at most ``most_windows`` their sorted
+hashes are broadcast (documents stay where they are: no shuffle); beyond that, hashes of both sides are joined in a shuffle, where
+item hashes occurring more often than a bound (the most frequent of them, a bounded number) are salted by position; only the
+pairs that share a hash then meet their texts, and are verified by the same comparison.
 
 Defined results: null and empty texts and items have no windows and give no rows; repeated rows give one row; texts with
-fewer than ``RUN`` words never match; other columns are ignored.
+fewer than ``RUN`` words never match, however few characters hold those words; other columns are ignored. ``alike_words`` counts the
+equal words of the best tolerant stretch, not of chance hits elsewhere on its diagonal.
 """
 
 from __future__ import annotations
@@ -66,9 +67,9 @@ class Index:
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.at = key[order], item[order], at[order]
 
-    def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
-        """item -> longest exact run, best tolerant overlap (equal words), and the document position of each."""
-        best: dict[int, tuple[int, int, int, int]] = {}
+    def matches(self, h: np.ndarray) -> dict[int, tuple[int, int, int]]:
+        """item -> longest exact run, best tolerant overlap (equal words), and its place in the document."""
+        best: dict[int, tuple[int, int, int]] = {}
         if len(h) < RUN or not len(self.key):
             return best
         diagonals = set()
@@ -77,22 +78,42 @@ class Index:
             for p in np.flatnonzero(hi > lo):
                 for q in range(lo[p], hi[p]):
                     diagonals.add((int(self.item[q]), int(p) - int(self.at[q])))
-        for k, d in diagonals:
-            item = self.words[k]
-            a, b = max(0, d), min(len(h), len(item) + d)
-            same = h[a:b] == item[a - d : b - d]
-            edges = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
-            runs = edges[1::2] - edges[::2]
-            i = int(np.argmax(runs)) if len(runs) else 0
-            exact, start = (int(runs[i]), int(edges[2 * i]) + a) if len(runs) else (0, a)
-            window = np.convolve(same, np.ones(TOLERANT_WORDS, int), "valid") if b - a >= TOLERANT_WORDS else np.zeros(0, int)
-            near = window >= TOLERANT_WORDS * TOLERANT_SHARE
-            tolerant, from_ = (int(same.sum()), int(np.argmax(near)) + a) if near.any() else (0, start)
-            old = best.get(k, (0, 0, 0, 0))
-            best[k] = (exact, max(old[1], tolerant), start, from_) if exact > old[0] else (old[0], max(old[1], tolerant), old[2], old[3])
+        for k, d in sorted(diagonals):
+            best[k] = better(best.get(k, NOTHING), overlap(h, self.words[k], d))
         return best
 
 
+#: Longest exact run, equal words of the best tolerant stretch, first word of the run or, without one, of the stretch.
+NOTHING = (0, 0, 0)
+
+
+def better(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
+    """Of two diagonals of a pair: the longer run with its place (the earlier of equal ones), and the larger tolerant count."""
+    run = max((a, b), key=lambda x: (x[0] if x[0] >= RUN else 0, x[1], -x[2]))
+    return (max(a[0], b[0]), max(a[1], b[1]), run[2])
+
+
+def overlap(h: np.ndarray, item: np.ndarray, d: int) -> tuple[int, int, int]:
+    """What document and item share where word i of the item lies on word i + d of the document."""
+    a, b = max(0, d), min(len(h), len(item) + d)
+    same = h[a:b] == item[a - d : b - d]
+    edges = np.flatnonzero(np.diff(np.r_[0, same.astype(np.int8), 0]))
+    runs = edges[1::2] - edges[::2]
+    i = int(np.argmax(runs)) if len(runs) else 0
+    exact, start = (int(runs[i]), int(edges[2 * i]) + a) if len(runs) else (0, a)
+    if b - a < TOLERANT_WORDS:
+        return exact, 0, start
+    total = np.r_[0, np.cumsum(same)]
+    near = np.flatnonzero(total[TOLERANT_WORDS:] - total[:-TOLERANT_WORDS] >= TOLERANT_WORDS * TOLERANT_SHARE)
+    if not len(near):
+        return exact, 0, start
+    cuts = np.flatnonzero(np.diff(near) > 1)  # stretches of windows without a gap
+    first, last = near[np.r_[0, cuts + 1]], near[np.r_[cuts, len(near) - 1]] + TOLERANT_WORDS
+    equal = total[last] - total[first]
+    k = int(np.argmax(equal))
+    return exact, int(equal[k]), start if exact >= RUN else int(first[k]) + a
+
+
 def leaks(docs: DataFrame, items: DataFrame, most_windows: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, run_words (longest exact run), alike_words (substitution-tolerant), first_word."""
     items = items.select("item_id", "text").where(F.col("text").isNotNull()).dropDuplicates(["item_id"])
@@ -112,11 +133,11 @@ def _broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
         ix, hashes = index.value, run.__dict__.setdefault("hashes", WordHashes())
         for doc_id, text in rows:
             if text:
-                for k, (exact, alike, start, _) in ix.matches(hashes(words(text))).items():
+                for k, (exact, alike, start) in ix.matches(hashes(words(text))).items():
                     if exact >= RUN or alike:
                         yield doc_id, ix.ids[k], exact, alike, start
 
-    return arrow_rows(spread(docs.select("doc_id", "text").where(F.length("text") > 2 * RUN), "doc_id"), SCHEMA, run)
+    return arrow_rows(spread(docs.select("doc_id", "text").where(F.length("text") > 0), "doc_id"), SCHEMA, run).dropDuplicates(["doc_id", "item_id"])
 
 
 def _windows(df: DataFrame, key: str) -> DataFrame:
@@ -127,7 +148,7 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
                 for at, x in enumerate(hs.view(np.int64).tolist()):
                     yield x, k, i, at
 
-    return arrow_rows(df.select(key, "text").where(F.length("text") > 2 * RUN), f"h bigint, mask int, {key} bigint, at int", run, 64)
+    return arrow_rows(df.select(key, "text").where(F.length("text") > 0), f"h bigint, mask int, {key} bigint, at int", run, 64)
 
 
 def salted(left: DataFrame, right: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -141,15 +162,22 @@ def salted(left: DataFrame, right: DataFrame, hot: int = HOT) -> tuple[DataFrame
 
 
 def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Two-sided join on masked hashes; a window equal under all masks is equal, as the masks cover every position."""
+    """Two-sided join on masked hashes; the diagonals of a pair that shares one meet both texts and are compared word by word."""
+    docs = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
     right = _windows(items, "item_id").withColumnRenamed("at", "item_at")
     left, right = salted(_windows(docs, "doc_id"), right)
-    hits = left.join(right, ["h", "mask", "salt"]).drop("salt")
-    same = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("d"), "at").agg(F.countDistinct("mask").alias("n"))
-    runs = same.withColumn("exact", F.col("n") == len(MASKS))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id", "item_id", "d", "exact").orderBy("at")
-    runs = runs.withColumn("island", F.col("at") - F.row_number().over(w)).groupBy("doc_id", "item_id", "d", "exact", "island").agg(F.count("*").alias("k"), F.min("at").alias("at"))
-    length = F.when(F.col("exact"), F.col("k") + RUN - 1).otherwise(0)
-    return runs.groupBy("doc_id", "item_id").agg(F.max(length).cast("int").alias("run_words"), F.lit(None).cast("int").alias("alike_words"), F.max_by("at", length).cast("int").alias("first_word"))
+    hits = left.join(right, ["h", "mask", "salt"]).groupBy("doc_id", "item_id").agg(F.collect_set((F.col("at") - F.col("item_at")).cast("int")).alias("diagonals"))
+    # an item may hit very many documents: its text is kept once for each salt, the pairs choose one by document
+    spread_items = items.select("item_id", F.col("text").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(spread_items, ["item_id", "salt"]).join(docs, "doc_id")
+
+    def run(rows) -> Iterator[tuple]:
+        hashes = run.__dict__.setdefault("hashes", WordHashes())
+        for doc_id, item_id, diagonals, item, text in rows:
+            best, h, w = NOTHING, hashes(words(text)), hashes(words(item))
+            for d in sorted(diagonals):
+                best = better(best, overlap(h, w, d))
+            if best[0] >= RUN or best[1]:
+                yield doc_id, item_id, *best
+
+    return arrow_rows(pairs.select("doc_id", "item_id", "diagonals", "item", "text"), SCHEMA, run)

@@ -2,8 +2,10 @@
 
 Method: a logistic regression over hashed word and character n-grams, trained on labelled rows, calibrated, and scored in
 Arrow batches against fixed thresholds. A bucket holds the share of a text's n-grams of one order that repeat, by how often
-they do. The tables hold no quality labels, so the labels are the exact share measured on a sample of at most
-``TRAIN_ROWS`` rows (a documented bound), to which rows with planted repetition are added so that both classes always exist.
+they do: n-grams are counted in a hash table whose size grows with the text, and a linear model over hashed counts themselves could not
+see repetition. The tables hold no quality labels, so the labels are the exact share measured on a sample of at most
+``TRAIN_ROWS`` rows (a documented bound), to which rows with planted repetition are added so that both classes always exist. Features
+of the sample are worked out where the rows lie; no text reaches the driver.
 
 The score alone cannot give the share that the query is defined by, so rows above the fixed low threshold ``GATE`` are
 measured exactly: a word is repeated if it lies in a run of 8 words that also occurs at an earlier position.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WordHashes, arrow_rows, multipliers, spread, words
 
 RUN, BOUND = 8, 0.35
-WORD_ORDERS, CHAR_ORDERS = (1, 2, 3, 5, 8), (12, 24)
+WORD_ORDERS, CHAR_ORDERS = (1, 4, 8), (16,)
 DIMS = 1 << 10
 TRAIN_ROWS = 1500
 #: Fixed thresholds on the calibrated probability: above GATE the text is measured, above SPAM it counts as spam by score.
@@ -31,8 +33,8 @@ GATE, SPAM = 0.005, 0.5
 
 
 #: An order is put together from two smaller ones: order -> (first part, second part).
-WORD_PARTS = {2: (1, 1), 3: (2, 1), 5: (3, 2), 8: (5, 3)}
-CHAR_PARTS = {2: (1, 1), 3: (2, 1), 6: (3, 3), 12: (6, 6), 24: (12, 12)}
+WORD_PARTS = {2: (1, 1), 4: (2, 2), 8: (4, 4)}
+CHAR_PARTS = {2: (1, 1), 4: (2, 2), 8: (4, 4), 16: (8, 8)}
 MULTIPLIERS = multipliers(64, 11)
 
 
@@ -67,23 +69,35 @@ def repeated_words(h: np.ndarray) -> int:
     return int((np.cumsum(mark[:-1]) > 0).sum())
 
 
-def features(h: np.ndarray, text: str) -> np.ndarray:
-    """Hashed n-gram features: for each order the mass of its n-grams by multiplicity, and a bias at 0."""
-    x = np.zeros(DIMS, np.float32)
-    x[0] = 1
+def multiplicities(g: np.ndarray) -> np.ndarray:
+    """How often each n-gram that occurs more than once does. Short lists are sorted; longer ones are counted in a hash table of at least
+    eight places for each n-gram (two n-grams in one place count as equal: noise that the calibration absorbs)."""
+    if len(g) < 512:
+        g = np.sort(g)
+        same = g[1:] == g[:-1]
+        if not same.any():
+            return g[:0].astype(np.int64)
+        counts = np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True]))))
+    else:
+        counts = np.bincount((g >> np.uint64(64 - (8 * len(g) - 1).bit_length())).astype(np.int64))
+    return counts[counts > 1]
+
+
+def features(h: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-gram features as (places, values): for each order the mass of its n-grams by multiplicity, and a bias at 0."""
+    places, values = [np.zeros(1, np.int64)], [np.ones(1)]
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.uint64)
     for kind, orders, ladder_ in ((0, WORD_ORDERS, ladder(h, WORD_PARTS)), (7919, CHAR_ORDERS, ladder(raw, CHAR_PARTS))):
         for n in orders:
-            g = np.sort(ladder_[n])
-            same = g[1:] == g[:-1]
-            if not same.any():
+            rep = multiplicities(ladder_[n])
+            if not len(rep):
                 continue
-            counts = np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True]))))
-            rep = counts[counts > 1]
-            bucket = (np.minimum(rep, 16) * 37 + n * 101 + kind) % (DIMS - 1) + 1
-            x += np.bincount(bucket, (rep - 1) / len(g), DIMS).astype(np.float32)
-            x[(n * 211 + (31 if kind else 17)) % (DIMS - 1) + 1] += (rep - 1).sum() / len(g)
-    return x
+            mass = (rep - 1) / len(ladder_[n])
+            places += [(np.minimum(rep, 16) * 37 + n * 101 + kind) % (DIMS - 1) + 1, np.array([(n * 211 + (31 if kind else 17)) % (DIMS - 1) + 1])]
+            values += [mass, mass.sum(keepdims=True)]
+    x = np.bincount(np.concatenate(places), np.concatenate(values), DIMS)
+    used = np.flatnonzero(x)
+    return used, x[used]
 
 
 def fit(X: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np.ndarray:
@@ -103,31 +117,50 @@ def fit(X: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 1e-3) -> np.
 
 
 class Model:
-    def __init__(self, texts: list[str]):
-        rng, hashes = np.random.default_rng(5), WordHashes()
-        rows = list(texts)
-        for t in texts[:400]:  # planted repetition at many shares
-            half = t[: max(40, int(len(t) * rng.uniform(0.1, 0.6)))]
-            rows.append(t + " " + " ".join([half] * int(rng.integers(1, 5))))
-        rows += ["una frase que se repite varias veces en el mismo texto sin motivo " * 5, "palabras sueltas y distintas"]
-        hs = [hashes(words(t)) for t in rows]
-        X = np.stack([features(h, t) for h, t in zip(hs, rows, strict=True)])
-        share = np.array([repeated_words(h) / max(1, len(h)) for h in hs])
-        y = (share >= BOUND).astype(float)
+    """Weights over the features, and the calibration of their sum."""
+
+    def __init__(self, rows: list[tuple[list[int], list[float], float]]):
+        X = np.zeros((len(rows), DIMS))
+        for k, (places, values, _) in enumerate(rows):
+            X[k, places] = values
+        y = np.array([share >= BOUND for _, _, share in rows], float)
         half = np.arange(len(rows)) % 2 == 0
         w = fit(X[half], y[half])
         s = X[~half] @ w  # Platt scaling on the other half
-        a = fit(np.stack([np.ones_like(s), s], 1), y[~half], 200, 1e-4)
-        self.w, self.a = w.astype(np.float32), a
+        self.w, self.a = w, fit(np.stack([np.ones_like(s), s], 1), y[~half], 200, 1e-4)
+
+    def probability(self, h: np.ndarray, text: str) -> float:
+        places, values = features(h, text)
+        return float(1 / (1 + np.exp(-np.clip(self.a[0] + self.a[1] * (values @ self.w[places]), -30, 30))))
 
-    def probability(self, X: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a[0] + self.a[1] * (X @ self.w), -30, 30)))
+
+def labelled(text: str, hashes: WordHashes) -> tuple[list[int], list[float], float]:
+    """Features and measured share of a text."""
+    h = hashes(words(text))
+    places, values = features(h, text)
+    return places.tolist(), values.tolist(), repeated_words(h) / max(1, len(h))
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on a bounded sample of the rows (a hash of the key decides, so the sample is the same on every run)."""
-    sample = docs.where(F.length("text") > 0).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows).collect()
-    return Model([r.text for r in sample])
+    keyed = docs.where(F.length("text") > 0).select("text", F.xxhash64("doc_id").alias("h"))
+    last = keyed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+
+    def run(rows) -> Iterator[tuple]:
+        hashes = WordHashes()
+        for text, key in rows:
+            yield key, 0, *labelled(text, hashes)
+            rng = np.random.default_rng(key & 0xFFFFFFFF)
+            if rng.random() < 0.3:  # planted repetition at many shares
+                half = text[: max(40, int(len(text) * rng.uniform(0.1, 0.6)))]
+                yield key, 1, *labelled(text + " " + " ".join([half] * int(rng.integers(1, 5))), hashes)
+
+    got = []
+    if last is not None:
+        made = arrow_rows(keyed.where(F.col("h") <= last), "h bigint, planted int, places array<int>, vals array<double>, share double", run, 64)
+        got = [tuple(r)[2:] for r in sorted(made.collect(), key=lambda r: (r.planted, r.h))]
+    fixed = ["una frase que se repite varias veces en el mismo texto sin motivo " * 5] * 2 + ["palabras sueltas y distintas"] * 2
+    return Model(got + [labelled(t, WordHashes()) for t in fixed])
 
 
 def repetition(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -136,12 +169,10 @@ def repetition(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(rows) -> Iterator[tuple]:
         hashes = run.__dict__.setdefault("hashes", WordHashes())
-        rows = list(rows)
-        hs = [hashes(words(t)) for _, t in rows]
-        p = held.value.probability(np.stack([features(h, t or "") for h, (_, t) in zip(hs, rows, strict=True)])) if rows else []
-        for (i, _), h, q in zip(rows, hs, p, strict=True):
+        for i, text in rows:
+            h = hashes(words(text))
             k = repeated_words(h)
-            yield i, len(h), k, k / len(h) if len(h) else 0.0, float(q)
+            yield i, len(h), k, k / len(h) if len(h) else 0.0, held.value.probability(h, text or "")
 
     return arrow_rows(spread(docs.select("doc_id", "text"), "doc_id"), "doc_id bigint, n_words int, n_repeated int, share double, probability double", run)
 
@@ -152,11 +183,9 @@ def repetitive(docs: DataFrame, model: Model | None = None, bound: float = BOUND
 
     def run(rows) -> Iterator[tuple]:
         hashes = run.__dict__.setdefault("hashes", WordHashes())
-        rows = [(i, t, hashes(words(t))) for i, t in rows if t]
-        if rows:
-            p = held.value.probability(np.stack([features(h, t) for _, t, h in rows]))
-            for (i, _, h), q in zip(rows, p, strict=True):
-                if q >= GATE and len(h) and repeated_words(h) >= bound * len(h):
-                    yield (i,)
+        for i, text in rows:
+            h = hashes(words(text))
+            if len(h) and held.value.probability(h, text) >= GATE and repeated_words(h) >= bound * len(h):
+                yield (i,)
 
     return arrow_rows(spread(docs.select("doc_id", "text").where(F.length("text") > 0), "doc_id"), "doc_id bigint", run).distinct()
