@@ -152,6 +152,25 @@ def test_words_of_spaceless_scripts():
     assert sentences.segments("被告はました") == ["被告", "は", "ました"]
 
 
+def test_dictionary_is_learnt_from_the_rows(spark):
+    said = ["会社側主張。", "調停委員提案。", "労働者側反論。"]
+    rows = spark.createDataFrame([("".join(random.Random(k).sample(said, 3)),) for k in range(40)] + [(None,), ("sin otra escritura",)], "text string")
+    lexicon = sentences.learn(rows)
+    assert "主張" in lexicon.learnt_finals and "調停" in lexicon.learnt_openers and sentences.segments("会社側主張", lexicon)[-1] in lexicon.learnt_finals
+    text = "会社側主張\n調停委員提案\n労働者側反論"
+    assert len(sentences.units(text)) == 1 and len(sentences.units(text, lexicon)) == 3  # the dictionary decides
+    assert sentences.units("側会主\n員調案", lexicon) == [(0, 7)]  # no words: no boundary
+    assert sentences.learn(rows.limit(0)).finals == sentences.DEFAULT.finals
+
+
+def test_terminators_are_decided_together():
+    text = "Dijo que no. ... Luego se fue."
+    assert [text[a:b] for a, b in sentences.units(text)] == ["Dijo que no.", "... Luego se fue."]
+    nodes = [(12, -5.0, False), (16, -3.0, False), (30, -9.0, False)]
+    assert sentences._cheapest(text, nodes) == [12, 30]  # a piece of marks alone is no sentence, though its own cost is a gain
+    assert sentences._cheapest(text, [(12, -1.0, False), (16, -3.0, False), (30, -9.0, False)]) == [16, 30]
+
+
 def test_sentences_cover_long_texts():
     text = "Una frase corta. " * 5000
     u = sentences.units(text)

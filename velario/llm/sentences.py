@@ -1,11 +1,13 @@
 """Problem 5: sentence units across languages and scripts.
 
-Method: every terminator (with its closing marks) either ends a sentence or does not; costs come from the word before
-(abbreviation, initial, ordinal), the word after (case, opener) and the state of quotes and brackets. Quotations are paired
-beforehand, so that no terminator's cost depends on another's choice and each is decided by itself, without a search. Spaceless
-scripts are cut into words by the cheapest path through a lattice of dictionary words; a gap without a terminator is then a boundary
-by the last word before it and the first word after it: a blank or line end in Chinese and Japanese, a line end in Thai. A blank
-beside Thai parts two sentences by definition. No gap inside a quotation is a boundary.
+Method: in spaced scripts the terminators (with their closing marks) form a lattice: at each one the sentence ends or goes on. Costs
+of a node come from the word before (abbreviation, initial, ordinal), the word after (case, opener) and the state of quotes and
+brackets; the cost of an edge from what the piece between two boundaries would be (a piece without a word is no sentence). The
+cheapest path decides all of them at once. Spaceless scripts are cut into words by the cheapest path through a lattice of dictionary
+words; the dictionary, and which words end and open sentences, are counted over all rows (``learn``) and joined with a few fixed
+particles. A gap without a terminator is then a boundary by the last word before it and the first word after it: a blank or line
+end in Chinese and Japanese, a line end in Thai. A blank beside Thai parts two sentences by definition. No gap inside a quotation
+is a boundary.
 
 Defined results: null, empty and blank texts have no unit; units are trimmed of blanks and keep closing marks and quotes; an
 empty line ends a unit; a line break alone does not; a long unbroken run on its own line is a unit; the rest of a cut-off text
@@ -17,7 +19,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ TERMINATOR = re.compile("[.!?…‥։؟۔।॥。！？｡．]+")
 CLOSERS = "\"'”’»›)]}」』】）〉》“"
 OPEN = {"«": "»", "‹": "›", "„": "“”", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "《": "》", "“": "”"}
 THAI = re.compile("[฀-๿຀-໿က-႟ក-៿]")
-THAI_LAST, THAI_FIRST = re.compile("[฀-๿຀-໿က-႟ក-៿]+$"), re.compile("[฀-๿຀-໿က-႟ក-៿]+")
+THAI_FIRST = re.compile("[฀-๿຀-໿က-႟ក-៿]+")
 EAST = re.compile("[぀-ヿ一-鿿㐀-䶿]")
-EAST_LAST, EAST_FIRST = re.compile("[぀-ヿ一-鿿㐀-䶿]+$"), re.compile("[぀-ヿ一-鿿㐀-䶿]+")
+EAST_FIRST = re.compile("[぀-ヿ一-鿿㐀-䶿]+")
 GAP = re.compile(r"\s+")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 RUN = re.compile(r"(?m)(?:(?<=\n)|\A)[ \t]*([A-Za-z0-9+/=_\-.:%&?#~]{24,})[ \t\r]*(?=\n|\Z)")
@@ -64,19 +65,38 @@ BOUND = frozenset("また ただ まだ 未だ あなた ほか 静か 確か 
 CARRY = ("と", "って", "との", "という", "は", "が", "を", "に", "の", "も", "、", "，", ",", "地说", "说")
 
 
-@cache
-def _lexicon() -> dict[str, float]:
-    return {w: 0.5 for w in (*FINALS, *STARTERS, *BOUND, *CARRY[:10])}
+class Lexicon:
+    """Words of the spaceless scripts with their costs, and the words that end and open sentences."""
 
+    def __init__(self, counts: dict[str, int] | None = None, finals: frozenset[str] = frozenset(), openers: frozenset[str] = frozenset()):
+        fixed = (*FINALS, *STARTERS, *BOUND, *CARRY[:10])
+        self.finals, self.openers = frozenset(FINALS), frozenset(STARTERS)
+        self.learnt_finals, self.learnt_openers = finals - self.finals - BOUND, openers - self.openers - BOUND - set(CARRY)
+        self.cost = {w: 0.5 for w in fixed}
+        counts = counts or {}
+        total = sum(n for w, n in counts.items() if len(w) == 1)
+        for w, n in counts.items():
+            # a word hangs together: it is far more frequent than its parts would make it
+            if len(w) > 1 and w not in self.cost and all(n * total > COHESION * counts.get(w[:k], n) * counts.get(w[k:], n) for k in range(1, len(w))):
+                self.cost[w] = 0.9  # cheaper than single characters, dearer than a particle
+        self.longest = max(map(len, self.cost))
 
-def segments(run: str) -> list[str]:
+
+#: How far above chance a word must be; longest learnt word; share of a word's places that must lie at an end or a beginning.
+COHESION, LONGEST_WORD, AT_ENDS = 8, 6, 0.5
+#: A gram counts from this share of all characters on, so at most LONGEST_WORD / GRAM_SHARE grams are collected at any size.
+GRAM_SHARE, LEAST_GRAMS = 2e-5, 4
+SPACELESS = "\\u0e00-\\u0e7f\\u0e80-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u4e00-\\u9fff\\u3400-\\u4dbf"
+DEFAULT = Lexicon()
+
+
+def segments(run: str, lexicon: Lexicon = DEFAULT) -> list[str]:
     """Words of the cheapest path through the lattice of dictionary words and single characters of an unbroken run."""
-    lexicon, n = _lexicon(), len(run)
-    longest = max(map(len, lexicon))
+    n, costs = len(run), lexicon.cost
     best, back = [0.0] + [1e18] * n, [0] * (n + 1)
     for i in range(n):
-        for k in range(1, min(longest, n - i) + 1):
-            cost = lexicon.get(run[i : i + k], 1.0 if k == 1 else 1e9)
+        for k in range(1, min(lexicon.longest, n - i) + 1):
+            cost = costs.get(run[i : i + k], 1.0 if k == 1 else 1e9)
             if best[i] + cost < best[i + k]:
                 best[i + k], back[i + k] = best[i] + cost, i
     out, at = [], n
@@ -86,32 +106,65 @@ def segments(run: str) -> list[str]:
     return out[::-1]
 
 
-@cache
-def _ends() -> tuple[frozenset[str], frozenset[str]]:
-    return frozenset(FINALS), frozenset(STARTERS)
-
-
-def gap_ends(text: str, start: int, end: int) -> bool:
-    """Whether the gap text[start:end] (blanks or a line end, no terminator before it) beside a spaceless script ends a sentence."""
-    left, right = text[max(0, start - 60) : start], text[end : end + 60]
-    thai_l, thai_r = THAI_LAST.search(left), THAI_FIRST.match(right)
-    finals, starters = _ends()
+def learn(rows: DataFrame) -> Lexicon:
+    """The dictionary of the spaceless scripts counted over all rows of a column ``text``; only rows that hold them are looked at twice."""
+    held = rows.where(F.col("text").rlike(f"[{SPACELESS}]")).select("text")
+    runs = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{SPACELESS}]+"), F.lit(0))).alias("run"))
+
+    def cut(run, size, at):
+        return F.substring(run, at, size)
+
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST_WORD)), lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: cut(F.col("run"), n, i))).otherwise(F.expr("cast(array() as array<string>)"))))
+    before = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"([{SPACELESS}]+)[。！？]"), F.lit(1))).alias("run"))
+    after = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"[。！？]([{SPACELESS}]+)"), F.lit(1))).alias("run"))
+    ends = lambda of: F.transform(F.sequence(F.lit(2), F.lit(LONGEST_WORD)), lambda n: F.when(F.length("run") >= n, of(n)))
+    counted = (
+        runs.select(F.explode(grams).alias("w"), F.lit("n").alias("kind"))
+        .unionAll(before.select(F.explode(ends(lambda n: F.right(F.col("run"), n))).alias("w"), F.lit("end").alias("kind")))
+        .unionAll(after.select(F.explode(ends(lambda n: F.left(F.col("run"), n))).alias("w"), F.lit("open").alias("kind")))
+        .where("w is not null").groupBy("w").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("n", "end", "open")])
+    )
+    total = counted.where("length(w) = 1").agg(F.sum("n")).scalar()
+    got = counted.where((F.col("n") >= LEAST_GRAMS) & (F.col("n") >= total * F.lit(GRAM_SHARE))).collect()
+    finals = frozenset(r.w for r in got if len(r.w) > 1 and r.end >= AT_ENDS * r.n)
+    openers = frozenset(r.w for r in got if len(r.w) > 1 and r.open >= AT_ENDS * r.n)
+    return Lexicon({r.w: r.n for r in got}, finals, openers)
+
+
+def _tail(text: str, letters: re.Pattern) -> str:
+    """The letters that end a text."""
+    k = len(text)
+    while k and letters.match(text[k - 1]):
+        k -= 1
+    return text[k:]
+
+
+def gap_ends(text: str, start: int, end: int, lexicon: Lexicon = DEFAULT, since: int = 0) -> bool:
+    """Whether the gap text[start:end] (blanks or a line end, no terminator before it) beside a spaceless script ends a sentence.
+    ``since``: the end of the gap before, where the unbroken run before this one can begin at the earliest."""
+    after = GAP.search(text, end)
+    left, right = text[since:start], text[end : after.start() if after else len(text)]
+    thai_l, thai_r = _tail(left, THAI), THAI_FIRST.match(right)
+    finals, starters = lexicon.finals, lexicon.openers
     if thai_l or thai_r:
         if not ((thai_l or left[-1:].isdigit() or left[-1:] in CLOSERS) and (thai_r or right[:1].isdigit() or right[:1] in "\"“«(")):
             return False
         if "\n" not in text[start:end]:
             return True
-        last = segments(thai_l.group())[-1] if thai_l else ""
-        return last not in BOUND and (last in finals or bool(thai_r) and segments(thai_r.group())[0] in starters)
-    east_l, east_r = EAST_LAST.search(left), EAST_FIRST.match(right)
+        last = segments(thai_l, lexicon)[-1] if thai_l else ""
+        return last not in BOUND and (last in finals or bool(thai_r) and segments(thai_r.group(), lexicon)[0] in starters)
+    east_l, east_r = _tail(left, EAST), EAST_FIRST.match(right)
     if not east_l:
         return False
-    last = segments(east_l.group())[-1]
+    last = segments(east_l, lexicon)[-1]
+    if last in lexicon.learnt_finals and east_r:  # a word that ends sentences elsewhere, before one that opens them
+        first = segments(east_r.group(), lexicon)[0]
+        return first in starters or first in lexicon.learnt_openers
     if last in BOUND or last not in finals:
         return False
     if not east_r:
         return last in SURE and (right[:1].isdigit() or right[:1] in OPEN and right[:1] not in "(（[")
-    first, *rest = segments(east_r.group())
+    first, *rest = segments(east_r.group(), lexicon)
     if last in ("た", "だ"):  # a plain past may also belong to the noun after it: only a topic opens a sentence
         return first in starters and rest[:1] in (["は"], ["が"], ["も"])
     return first in starters or last in SURE and first not in CARRY and first not in finals
@@ -156,7 +209,7 @@ def quoted(text: str) -> list[tuple[int, int]]:
 def _before(text: str, i: int) -> str:
     """The word that ends before place i, dots inside included."""
     a = i
-    while a and i - a < 40 and not text[a - 1].isspace() and text[a - 1] not in "([{\"'«»“”„‘’¿¡,;:":
+    while a and not text[a - 1].isspace() and text[a - 1] not in "([{\"'«»“”„‘’¿¡,;:":
         a -= 1
     return text[a:i]
 
@@ -234,12 +287,43 @@ def breaks(text: str, spans: list[tuple[int, int]] | None = None) -> list[int]:
         k = bisect_left(starts, m.start()) - 1
         held = k >= 0 and m.start() < inside[k][1] and end < inside[k][1]
         nodes.append((end, _cost(text, m.start(), end, after), held))
-    # with quotations paired beforehand the nodes are independent, so every node of negative cost is taken;
-    # a quotation that is still open makes a break dearer than any gain
-    return [end for end, cost, held in nodes if cost + (20 if held else 0) < 0]
+    return _cheapest(text, nodes)
+
+
+#: Dearer than any gain: a break inside a quotation that is still open; and what a piece without a word costs as a sentence.
+OPEN_QUOTE, NO_WORD = 20.0, 4.0
+
+
+def _cheapest(text: str, nodes: list[tuple[int, float, bool]]) -> list[int]:
+    """The cheapest path through the lattice: one state for each terminator that may be the last boundary, or none.
+
+    A boundary pays its own cost, and NO_WORD if nothing between it and the boundary before is a word. Only boundaries up to the first
+    word behind them can pay that, so a state further back is as good as any and one best state stands for all of them.
+    """
+    far: tuple[float, tuple | None] = (0.0, None)  # best path whose last boundary has a word behind it
+    near: list[tuple[float, tuple | None]] = []  # paths whose last boundary has none yet
+    at = 0
+    for end, cost, held in nodes:
+        if ANY_WORD.search(text, at, end):
+            far = min([far, *near], key=lambda x: x[0])
+            near = []
+        at = end
+        own = cost + (OPEN_QUOTE if held else 0.0)
+        worded = bool(ANY_WORD.search(text, 0, end)) if far[1] is None else True
+        options = [(far[0] + own + (0.0 if worded else NO_WORD), (end, far[1]))] + [(c + own + NO_WORD, (end, path)) for c, path in near]
+        near = [*near, min(options, key=lambda x: x[0])]
+    _, path = min([far, *near], key=lambda x: x[0])
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return out[::-1]
+
+
+ANY_WORD = re.compile(r"[^\W_]")
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
+def units(text: str | None, lexicon: Lexicon = DEFAULT) -> list[tuple[int, int]]:
     """Sentence units of a text as (start, end)."""
     if not text or text.isspace():
         return []
@@ -251,11 +335,12 @@ def units(text: str | None) -> list[tuple[int, int]]:
         if not m.group(1).isalpha() or len(m.group(1)) >= 40:
             ends |= {m.start(1), m.end(1)}
     if THAI.search(text) or EAST.search(text):
-        starts = [a for a, _ in spans]
+        starts, since = [a for a, _ in spans], 0
         for m in GAP.finditer(text):
             k = bisect_left(starts, m.start()) - 1
-            if not (k >= 0 and m.end() < spans[k][1]) and gap_ends(text, m.start(), m.end()):
+            if not (k >= 0 and m.end() < spans[k][1]) and gap_ends(text, m.start(), m.end(), lexicon, since):
                 ends.add(m.start())
+            since = m.end()
     out, at = [], 0
     for e in [*sorted(ends), len(text)]:
         a, b = at, e
@@ -269,12 +354,13 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_units(rows: DataFrame) -> DataFrame:
+def sentence_units(rows: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """unit_kind, unit_id, sent_no, char_start, char_end, sentence of unit_kind, unit_id, text."""
+    held = rows.sparkSession.sparkContext.broadcast(lexicon or learn(rows))
 
     def run(rows) -> Iterator[tuple]:
         for kind, i, text in rows:
-            for k, (a, b) in enumerate(units(text)):
+            for k, (a, b) in enumerate(units(text, held.value)):
                 yield kind, i, k + 1, a, b, text[a:b]
 
     return arrow_rows(rows.where(F.col("text").isNotNull()), "unit_kind string, unit_id bigint, sent_no int, char_start int, char_end int, sentence string", run)
