@@ -183,12 +183,41 @@ def test_sentences_cover_long_texts():
 WORDS = scans.Words({"turno": 300, "el": 5000, "agravio": 200, "sobre": 900, "re": 2, "circunstancia": 100, "ministerio": 90, "público": 90, "la": 900, "causa": 80, "vencido": 50})
 
 
+def test_words_are_read_across_lines_and_blanks():
+    known = scans.Words({"la": 900, "sentencia": 300, "fue": 200, "juzgado": 300, "el": 900, "circunstancia": 300})
+    assert scans.analyse("La sen\ntencia fue", known)[0] == "La sentencia fue" and scans.analyse("La sen tencia fue", known)[0] == "La sentencia fue"
+    assert scans.analyse("el j u z g a d o fue", known)[0] == "el juzgado fue"
+    text, undone = scans.analyse("la circuns-\nfancia fue", known)  # a hyphen and a confusion in one word
+    assert text == "la circunstancia fue" and {k for k, _, _ in undone} == {"hyphenation", "misread"}
+    text, undone = scans.analyse("la cir-\ncuns-\ntancia fue", known)
+    assert text == "la circunstancia fue" and [k for k, _, _ in undone] == ["hyphenation", "hyphenation"]
+    long = "a" * 60
+    assert scans.Words({long: 200}).best("a" * 59 + "o") == long
+
+
+def test_furniture_away_from_the_edges():
+    names = "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciseis".split()
+    body = [f"el hecho {names[k]} fue narrado con {names[15 - k]} detalle" for k in range(16)]
+    pages = [[*body[4 * p : 4 * p + 3], "COPIA DEL EXPEDIENTE", *body[4 * p + 1 : 4 * p + 4], f"otro renglon {names[p]} que sigue"] for p in range(4)]
+    numbers, running = scans.furniture(pages)
+    assert (0, 3) in running and (3, 3) in running and not numbers
+
+
+def test_paragraph_boundaries_depend_on_each_other():
+    full = "palabra " * 12
+    longer = [full + "que", "sigue aquí", "Otra frase " + full]  # the short line ends a paragraph of two lines
+    alone = [full + "fin.", "Sigue aquí", "Otra frase " + full]  # the same line end, but alone it is no paragraph
+    assert list(map(len, map(str.splitlines, scans.paragraphs(longer)))) == [1, 1] and scans.paragraphs(longer)[1] == longer[2]
+    assert scans.paragraphs(alone) == [alone[0], f"{alone[1]} {alone[2]}"] and scans.paragraphs([]) == [] and scans.paragraphs(["uno"]) == ["uno"]
+
+
 def test_scan_noise():
     bodies = ("Vencido el tumo, el Minis-\nterio Público dijo que la circunsfancia", "sob re el agr@vio no.", "la causa, el agravio")
     text = "\n\n".join(f"COPIA PARA TRASLADO\n{b}\nfs. {k} vta." for k, b in enumerate(bodies, 1))
     repaired, undone = scans.analyse(text, WORDS)
     kinds = {k for k, _, _ in undone}
     assert kinds == {"hyphenation", "misread", "running_line", "page_number"}
+    assert "\n\n" not in scans.analyse("La sen\ntencia fue", scans.Words({"la": 900, "sentencia": 300, "fue": 200}))[0]
     assert "Ministerio Público" in repaired and "circunstancia" in repaired and "sobre el agravio" in repaired and "COPIA" not in repaired and "turno" in repaired
 
 

@@ -57,21 +57,26 @@ def code(token: str) -> str:
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
-    """Edit distance with neighbouring swaps, up to ``most`` + 1."""
-    if abs(len(a) - len(b)) > most or len(a) > 60:  # tokens so long are no names: equal or different
-        return 0 if a == b else most + 1
-    two, one = [], list(range(len(b) + 1))
+    """Edit distance with neighbouring swaps, up to ``most`` + 1; only places at most that far apart are compared, so time is linear."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    far, n = most + 1, len(b)
+    two: dict[int, int] = {}
+    one = {j: j for j in range(min(n, most) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(one[j] + 1, row[-1] + 1, one[j - 1] + (x != y))
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(n, i + most) + 1):
+            y = b[j - 1]
+            d = min(one.get(j, far) + 1, row.get(j - 1, far) + 1, one.get(j - 1, far) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+                d = min(d, two.get(j - 2, far) + 1)
+            row[j] = d
+        if min(row.values(), default=far) > most:
+            return far
         two, one = one, row
-    return one[-1]
+    return min(one.get(n, far), far)
 
 
 def jaro_winkler(a: str, b: str) -> float:

@@ -1,9 +1,11 @@
 """Problem 6: noise in the text of scanned pages.
 
-Method: the lines of a page are joined to one stream of characters, from which running lines and page numbers are taken out
-first; words are decoded jointly over the stream by dynamic programming that allows splits (a stray blank), merges (a lost
-blank), confusions of glyphs, stray strokes and hyphens at line ends, against word counts of the whole corpus; paragraph
-boundaries are the cheapest choice over all lines. What the decoding had to undo names the noise of the document.
+Method: running lines and page numbers are taken out, and all lines that remain are one stream of tokens with what parts them: a
+blank, a line end, or a hyphen before a line end. Dynamic programming over that stream reads words jointly: a token may stand, be
+corrected (confusions of glyphs, stray strokes), be joined to the next over a stray blank, a line end or a hyphen, be one of a run
+of spaced letters, or be parted at a lost blank, against word counts of the whole corpus. Stretches whose tokens are all words and
+cannot join are their own cheapest reading and are passed. Paragraph boundaries are the cheapest choice over all lines, where a
+paragraph of one broken line costs as well. What the decoding had to undo names the noise of the document.
 
 A word counts as misread only if the corpus holds a spelling reached by glyph confusions that is far more frequent (a ratio,
 so that the decision is alike at every size), or if it holds a stroke or digit where no word has one.
@@ -19,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +39,10 @@ LETTER = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 WORD = re.compile(rf"[{LETTER}]+")
 HYPHENS = "-¬­‐"
 RATIO = 25
-#: No word of the counted vocabulary is longer than 30 letters, so longer tokens have no reading.
-LONGEST = 40
+#: Tokens up to here are read by generating variants; longer ones are compared with the words of their length.
+LONG = 40
+#: Shares of all words: what is rare enough to be a misreading itself, and what is frequent enough to be a part of a run-together word.
+RARE, COMMON = 1e-6, 2e-4
 SKIP = re.compile(r"@[\w.]+\.|\(at\)|arroba|\d{2,}|://|[^\x00-\x7FáéíóúñüÁÉÍÓÚÑÜ°º¿¡«»“”…—]")
 NUMBER = r"[0-9lIOoSsBgq!|]{1,4}"
 PAGE_FORMS = (
@@ -55,6 +60,9 @@ class Words:
         self.n: Counter[str] = Counter()
         for w, n in counts.items():
             self.n[w.lower()] += n
+        self.total = sum(self.n.values())
+        self.rare, self.common = max(3, RARE * self.total), max(200, COMMON * self.total)
+        self.long = [w for w in self.n if len(w) >= LONG - 2]
         self.best = lru_cache(200_000)(self._best)
         self.simple: dict[str, str | None] = {}
 
@@ -79,9 +87,12 @@ class Words:
     def _best(self, w: str) -> str | None:
         """The word that was printed, if the token is a misreading by one or two confusions; else None."""
         own = self.n.get(w, 0)
+        if len(w) > LONG:
+            close = [(self.n[v], v) for v in self.long if v != w and edits(w, v, 2) <= 2]
+            return max(close)[1] if close and max(close)[0] >= max(3, RATIO * own) else None
         first = self._variants(w)
         found = max(((self.n[v], v) for v in first if v in self.n), default=None)
-        if found is None and own < 3:
+        if found is None and own < self.rare:
             found = max(((self.n[x], x) for v in first for x in self._variants(v) if x in self.n), default=None)
         if found and found[1] != w and found[0] >= max(3, RATIO * own) and len(w) > 2:
             return found[1]
@@ -101,7 +112,7 @@ def _clean(token: str) -> tuple[str, int]:
 def misread(token: str, words: Words, own: Counter[str]) -> str | None:
     """What was printed where a token is misread ("" if it cannot be told), or None if the token may stand."""
     w, _ = _clean(token)
-    if not 2 <= len(w) <= LONGEST or SKIP.search(w):
+    if len(w) < 2 or SKIP.search(w):
         return None
     letters = sum(c.isalpha() for c in w)
     if letters * 2 < len(w) or letters < 2:
@@ -115,7 +126,7 @@ def misread(token: str, words: Words, own: Counter[str]) -> str | None:
             return w.replace("I", "l")
         if (b := words.best(low)) is not None:
             return b
-        if not words.count(low):  # a name that the document spells otherwise elsewhere
+        if words.count(low) < words.rare - 1 and len(low) <= LONG:  # a name that the document spells otherwise elsewhere
             return next((v for v in words._variants(low) if own.get(v, 0) > own.get(low, 0)), None)
         return None
     if not re.fullmatch(rf"[{LETTER}0-9{re.escape(STRAYS)}!@$]+", w):
@@ -131,7 +142,7 @@ def misread(token: str, words: Words, own: Counter[str]) -> str | None:
     inner = re.search(rf"[{LETTER}][|~!'@0-9$][{LETTER}]|^[|~!@0-9$][{LETTER}]{{3}}|[{LETTER}]{{3}}[|~@0-9$]$", w)
     digits = sum(c.isdigit() for c in w)
     if inner and digits < 2 and not re.search(r"[2347]", w):
-        return next((v for v in words._variants(low) if WORD.fullmatch(v)), "")
+        return next((v for v in words._variants(low) if WORD.fullmatch(v)), "") if len(low) <= LONG else ""
     return None
 
 
@@ -159,141 +170,207 @@ def _number(line: str) -> int | None:
 
 
 def furniture(pages: list[list[str]]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
-    """(page numbers, running lines) as places (page, line)."""
-    numbers: set[tuple[int, int]] = set()
-    edges = []  # lines at the edges of the pages
+    """(page numbers, running lines) as places (page, line). Every line is looked at; away from the edges of a page a line must recur
+    more strictly: a number in step on most pages, a running line on three pages at least."""
+    edge: set[tuple[int, int]] = set()  # first and last three lines of a page: where numbers stand
+    rim: set[tuple[int, int]] = set()  # first and last two
+    told: dict[tuple[int, int], int] = {}
     for p, lines in enumerate(pages):
         real = [i for i, line in enumerate(lines) if line.strip()]
-        edges += [(p, i, k) for k, i in enumerate(real[:3])] + [(p, i, k - len(real)) for k, i in enumerate(real) if len(real) - k <= 3 and k >= 3]
-    told = {}
-    for p, i, _ in edges:
-        n = _number(pages[p][i])
-        if n is not None:
-            told[p, i] = n
-    steps = Counter(n - p for (p, _), n in told.items())
+        edge |= {(p, i) for i in real[:3] + real[-3:]}
+        rim |= {(p, i) for i in real[:2] + real[-2:]}
+        for i in real:
+            if len(lines[i]) <= 40 and (n := _number(lines[i])) is not None:
+                told[p, i] = n
+    numbers: set[tuple[int, int]] = set()
+    steps = Counter(n - p for (p, i), n in told.items() if (p, i) in edge)
+    inner = Counter(n - p for p, n in {(p, n) for (p, i), n in told.items()})
     for (p, i), n in told.items():
-        sure = re.match(r"^\s*(?:p[aá@]g|[-–—]\s*\d+\s*[-–—]\s*$)", pages[p][i], re.I)
-        if n - p == 1 or steps[n - p] >= 2 or sure and "de" in pages[p][i]:
+        if (p, i) in edge:
+            sure = re.match(r"^\s*(?:p[aá@]g|[-–—]\s*\d+\s*[-–—]\s*$)", pages[p][i], re.I)
+            if n - p == 1 or steps[n - p] >= 2 or sure and "de" in pages[p][i]:
+                numbers.add((p, i))
+        elif inner[n - p] >= 3 and inner[n - p] * 2 > len(pages):
             numbers.add((p, i))
+    if len(pages) < 2:
+        return numbers, set()
+    # groups of lines of one skeleton, or of skeletons few edits apart that share a piece
+    groups: dict[str, list[tuple[int, int]]] = {}
+    by_piece: dict[tuple[int, str], list[str]] = {}
+    exact: dict[str, list[tuple[int, int]]] = {}
+    for p, lines in enumerate(pages):
+        for i, line in enumerate(lines):
+            if line.strip() and (p, i) not in numbers and len(s := skeleton(line)) >= 6:
+                exact.setdefault(s, []).append((p, i))
+    for s, places in exact.items():
+        at_rim = any(x in rim for x in places)
+        if not at_rim and len(places) < 2:
+            continue  # a line of the body that occurs once
+        pieces = ((0, s[:3]), (1, s[-3:]), (2, s[5:8]))
+        near = dict.fromkeys(g for piece in pieces for g in by_piece.get(piece, ()))
+        key = next((g for g in near if abs(len(g) - len(s)) <= 2 and edits(g, s, 3) <= min(3, max(1, len(s) // 8))), s)
+        if key == s:
+            for piece in pieces:
+                by_piece.setdefault(piece, []).append(s)
+        groups.setdefault(key, []).extend(places)
     running: set[tuple[int, int]] = set()
-    groups: dict[str, list[tuple[int, int, int]]] = {}
-    for p, i, k in edges:
-        if (p, i) in numbers or abs(k) > 1 and k != -2:
-            continue
-        s = skeleton(pages[p][i])
-        if len(s) < 6:
-            continue
-        key = s if s in groups else next((g for g in groups if abs(len(g) - len(s)) <= 2 and (g[:3] == s[:3] or g[-3:] == s[-3:] or g[5:8] == s[5:8]) and edits(g, s, 3) <= min(3, max(1, len(s) // 8))), s)
-        groups.setdefault(key, []).append((p, i, k))
     for key, places in groups.items():
-        on = {p for p, _, _ in places}
-        if len(on) == 2 and any(pages[p][i].strip()[:1].islower() for p, i, _ in places):  # the tails of two sentences may agree by chance
+        outer = [x for x in places if x in rim]
+        if key.startswith(("punto", "anexo")):
             continue
-        if len(on) >= 2 and len(on) * 2 > len(pages) and not key.startswith(("punto", "anexo")):
-            running |= {(p, i) for p, i, _ in places}
+        for held, least in ((outer, 2), (places, 3)):
+            on = {p for p, _ in held}
+            if len(on) == 2 and any(pages[p][i].strip()[:1].islower() for p, i in held):  # the tails of two sentences may agree by chance
+                continue
+            if len(on) >= least and len(on) * 2 > len(pages):
+                running |= set(held)
     return numbers, running
 
 
-HYPHEN = re.compile(rf"([{LETTER}]+)[{HYPHENS}]$")
+HYPHEN = re.compile(rf"[{LETTER}]+[{HYPHENS}]$")
+REST = re.compile(rf"[{LETTER}][{LETTER}0-9!@|~']*")
+NOTHING: Counter[str] = Counter()
+Undone = list[tuple[str, str, str]]
 
 
-def analyse(text: str, words: Words) -> tuple[str, list[tuple[str, str, str]]]:
+def analyse(text: str, words: Words) -> tuple[str, Undone]:
     """The repaired text in paragraphs, and what was undone: (kind of noise, found, restored)."""
     pages = [p.split("\n") for p in re.split(r"\n[ \t\r]*\n", text)]
     numbers, running = furniture(pages)
     undone = [("page_number", pages[p][i], "") for p, i in sorted(numbers)] + [("running_line", pages[p][i], "") for p, i in sorted(running)]
-    lines = [line.strip() for p, page in enumerate(pages) for i, line in enumerate(page) if (p, i) not in numbers | running and line.strip()]
-    own = Counter(w.lower() for line in lines for w in WORD.findall(line))
-    # hyphens at line ends: the next line of the ruling holds the rest of the word
-    k = 0
-    while k + 1 < len(lines):
-        m = HYPHEN.search(lines[k])
-        rest = re.match(rf"[{LETTER}0-9!@|~']+", lines[k + 1])
-        if m and rest and rest.group()[:1].isalpha():
-            a, b = m.group(1), rest.group()
-            joined = a + b
-            known = words.count(joined) or words.best(joined.lower())
-            both = words.count(a) >= 3 and words.count(b) >= 3 and not known
-            if (b[0].islower() or joined.isupper()) and (known or not both):
-                undone.append(("hyphenation", f"{a}-/{b}", joined))
-                lines[k] = lines[k][: m.start()] + joined + lines[k + 1][rest.end() : rest.end() + 1].strip()
-                tail = lines[k + 1][rest.end() :].lstrip(".,;:)")
-                lines[k] = lines[k][: m.start()] + joined + lines[k + 1][rest.end() : len(lines[k + 1]) - len(tail)].rstrip()
-                lines[k + 1] = tail.lstrip()
-                if not lines[k + 1]:
-                    del lines[k + 1]
-                continue
-        k += 1
-    out = []
-    for line in lines:
-        out.append(_decode(line, words, own, undone))
-    return "\n\n".join(paragraphs(out)), undone
-
-
-def _undamaged(tokens: list[str], words: Words) -> bool:
-    """Whether every token is a counted word or no word at all, none is misread, and no two side by side make a counted word."""
-    simple, counts = words.simple, words.n
-    last = ""
-    for t in tokens:
-        low = simple.get(t)
+    lines = [line.split() for p, page in enumerate(pages) for i, line in enumerate(page) if (p, i) not in numbers | running and line.strip()]
+    own = Counter(w.lower() for line in lines for t in line for w in WORD.findall(t))
+    tokens = [t for line in lines for t in line]
+    ends = {n - 1 for n in accumulate(len(line) for line in lines)}  # tokens after which the line ends
+    read = decode(tokens, ends, words, own, undone)
+    return "\n\n".join(paragraphs(read)), undone
+
+
+def decode(tokens: list[str], ends: set[int], words: Words, own: Counter[str], undone: Undone) -> list[str]:
+    """The cheapest reading of a stream of tokens, as lines: a token read from two lines stands in the first."""
+    shown: list[list[str]] = [[]]
+    at = 0
+    for lo, hi in [*_doubtful(tokens, ends, words), (len(tokens), len(tokens))]:
+        for i in range(at, lo):
+            shown[-1].append(tokens[i])
+            if i in ends:
+                shown.append([])
+        if lo < hi:
+            for i, step, text, why in _path(tokens, lo, hi, ends, words, own):
+                shown[-1].append(text)
+                undone += why
+                if any(k in ends for k in range(i, i + step)):
+                    shown.append([])
+        at = hi
+    return [" ".join(line) for line in shown if line]
+
+
+def _plain(t: str, words: Words) -> str | None:
+    """"" or, if it may be a part of a split word, the small letters of a token that can only stand as it is; None if it is in doubt."""
+    simple = words.simple
+    if t in simple:
+        return simple[t]
+    w, at = _clean(t)
+    plain = WORD.fullmatch(w) is not None
+    good = misread(t, words, NOTHING) is None and (not plain or words.count(w) or SKIP.search(w))
+    if len(simple) > 300_000:
+        simple.clear()
+    # a token counts as a part of a split word only if nothing stands before it
+    low = simple[t] = (w.lower() if plain and at == 0 else "") if good else None
+    return low
+
+
+def _doubtful(tokens: list[str], ends: set[int], words: Words) -> list[tuple[int, int]]:
+    """Stretches [lo, hi) outside of which every token stands: those in doubt, those that may join, and their neighbours."""
+    out: list[list[int]] = []
+
+    def add(lo: int, hi: int) -> None:
+        lo, hi = max(0, lo), min(len(tokens), hi)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+
+    counts, last, letters = words.n, "", 0
+    for i, t in enumerate(tokens):
+        low = _plain(t, words)
+        letters = letters + 1 if len(t) == 1 and t.isalpha() else 0
         if low is None:
-            if t in simple:
-                return False
-            w, at = _clean(t)
-            plain = WORD.fullmatch(w) is not None
-            good = misread(t, words, NOTHING) is None and (not plain or words.count(w) or SKIP.search(w))
-            if len(simple) > 300_000:
-                simple.clear()
-            # a token counts as a part of a split word only if nothing stands before it
-            low = simple[t] = (w.lower() if plain and at == 0 else "") if good else None
-            if low is None:
-                return False
-        if last and low and last + low in counts:
-            return False
+            add(i - 1, i + 2)
+        elif i in ends and HYPHEN.search(t):
+            add(i, i + 2)
+        elif last and low and last + low in counts:
+            add(i - 1, i + 1)
+        elif letters >= 3:
+            add(i - 2, i + 2)
+        # only a whole token may be continued, and only one without a mark behind it
         last = low if low and len(low) == len(t) else ""
-    return True
-
-
-NOTHING: Counter[str] = Counter()
-
-
-def _decode(line: str, words: Words, own: Counter[str], undone: list) -> str:
-    """Cheapest reading of a line: keep, correct, join two tokens over a stray blank, or part a token at a lost blank."""
-    tokens = line.split()
-    if _undamaged(tokens, words):
-        return " ".join(tokens)
-    n = len(tokens)
-    best: list[tuple[float, int, str, tuple | None]] = [(0.0, 0, "", None)] + [(1e9, 0, "", None)] * n
-    for i in range(n):
-        base, t = best[i][0], tokens[i]
-        w, at = _clean(t)
-        unknown = 0.0 if not WORD.fullmatch(w) or words.count(w) or SKIP.search(w) else 1.0
-        options = [(1, t, unknown, None)]
-        fixed = misread(t, words, own)
-        if fixed is not None:
-            options.append((1, t.replace(w, _like(w, fixed)) if fixed else t, -1.0, ("misread", w, fixed)))
-        if i + 1 < n and WORD.fullmatch(t):
-            w2, at2 = _clean(tokens[i + 1])
-            if at2 == 0 and WORD.fullmatch(w2) and w2.islower():
-                j, a, b = words.count(w + w2), words.count(w), words.count(w2)
-                if j >= 3 and RATIO * min(a, b) <= j and len(w + w2) > 3 and not (a and w.lower() in ("a", "o", "y", "e")):
-                    options.append((2, w + tokens[i + 1], -0.5, ("misread", f"{w} {w2}", w + w2)))
-        if unknown and 5 < len(w) <= LONGEST and fixed is None:
-            cut = max((min(words.count(w[:c]), words.count(w[c:])) for c in range(2, len(w) - 2)), default=0)
-            if cut >= 200:
-                c = max(range(2, len(w) - 2), key=lambda c: min(words.count(w[:c]), words.count(w[c:])))
-                options.append((1, t.replace(w, f"{w[:c]} {w[c:]}"), 0.5, ("merge", w, f"{w[:c]} {w[c:]}")))
-        for step, shown, cost, why in options:
-            if base + cost < best[i + step][0]:
-                best[i + step] = (base + cost, i, shown, why)
-    shown, k = [], n
+    return [(a, b) for a, b in out]
+
+
+def _path(tokens: list[str], lo: int, hi: int, ends: set[int], words: Words, own: Counter[str]) -> list[tuple[int, int, str, Undone]]:
+    """The cheapest path over tokens[lo:hi] as (token, tokens taken, text, what was undone)."""
+    n = hi - lo
+    best: list[tuple[float, int, str, Undone]] = [(0.0, 0, "", [])] + [(1e9, 0, "", [])] * n
+    for k in range(n):
+        base = best[k][0]
+        for step, text, cost, why in _readings(tokens, lo + k, hi, ends, words, own):
+            if base + cost < best[k + step][0]:
+                best[k + step] = (base + cost, k, text, why)
+    out, k = [], n
     while k:
-        _, back, s, why = best[k]
-        shown.append(s)
-        if why:
-            undone.append(why)
+        _, back, text, why = best[k]
+        out.append((lo + back, k - back, text, why))
         k = back
-    return " ".join(reversed(shown))
+    return out[::-1]
+
+
+def _readings(tokens: list[str], i: int, hi: int, ends: set[int], words: Words, own: Counter[str]) -> Iterator[tuple[int, str, float, Undone]]:
+    """What tokens from i on may be read as: (tokens taken, text, cost, what is undone)."""
+    t = tokens[i]
+    w, _ = _clean(t)
+    unknown = 0.0 if not WORD.fullmatch(w) or words.count(w) or SKIP.search(w) else 1.0
+    yield 1, t, unknown, []
+    fixed = misread(t, words, own)
+    if fixed is not None:
+        yield 1, t.replace(w, _like(w, fixed)) if fixed else t, -1.0, [("misread", w, fixed)]
+    # hyphens at line ends, as many in a row as there are
+    text, k, why = t, i, []
+    while k in ends and k + 1 < hi and (m := HYPHEN.search(text)) and (rest := REST.match(tokens[k + 1])):
+        a, b = re.search(rf"[{LETTER}]+$", text[:-1]).group(), rest.group()
+        joined = a + b
+        known = words.count(joined) or words.best(joined.lower())
+        both = words.count(a) >= 3 and words.count(b) >= 3 and not known
+        if not ((b[0].islower() or joined.isupper()) and (known or not both)):
+            break
+        why = [*why, ("hyphenation", f"{a}-/{b}", joined)]
+        text, k = text[: m.end() - 1] + tokens[k + 1], k + 1
+        again = misread(text, words, own)
+        if again is None:
+            yield k - i + 1, text, -2.0 * (k - i), why
+        else:
+            core, _ = _clean(text)
+            yield k - i + 1, text.replace(core, _like(core, again)) if again else text, -2.0 * (k - i) - 1, [*why, ("misread", core, again)]
+    if i + 1 < hi and WORD.fullmatch(t):
+        w2, at2 = _clean(tokens[i + 1])
+        if at2 == 0 and WORD.fullmatch(w2) and w2.islower():
+            j, a, b = words.count(w + w2), words.count(w), words.count(w2)
+            if j >= 3 and RATIO * min(a, b) <= j and len(w + w2) > 3 and not (a and w.lower() in ("a", "o", "y", "e")):
+                # a word cut by a line end without a hyphen is repaired, but it is no noise of the four kinds
+                yield 2, w + tokens[i + 1], -0.5, [("line_join" if i in ends else "misread", f"{w} {w2}", w + w2)]
+    if len(t) == 1 and t.isalpha():  # spaced letters
+        k = i
+        while k < hi and len(tokens[k]) == 1 and tokens[k].isalpha() and (k == i or k - 1 not in ends):
+            k += 1
+        for m in range(k, i + 2, -1):
+            spaced = "".join(tokens[i:m])
+            if words.count(spaced) >= 3 and m - i >= 3:
+                yield m - i, spaced, -1.0, [("misread", " ".join(tokens[i:m]), spaced)]
+                break
+    if unknown and 5 < len(w) <= LONG and fixed is None:
+        cut, c = max(((min(words.count(w[:c]), words.count(w[c:])), c) for c in range(2, len(w) - 2)), default=(0, 0))
+        if cut >= words.common:
+            yield 1, t.replace(w, f"{w[:c]} {w[c:]}"), 0.5, [("merge", w, f"{w[:c]} {w[c:]}")]
 
 
 def _like(model: str, word: str) -> str:
@@ -304,31 +381,35 @@ def _like(model: str, word: str) -> str:
 
 
 def paragraphs(lines: list[str]) -> list[str]:
-    """Boundaries by dynamic programming over lines: a break costs by how a line ends, how the next begins, and how full it is."""
+    """Boundaries by dynamic programming over lines. A boundary costs by how a line ends, how the next begins, and how full it is; a
+    paragraph costs if it is a single line that neither ends a sentence nor is a heading, so that boundaries depend on each other."""
     if not lines:
         return []
     width = sorted(map(len, lines))[int(len(lines) * 0.8)] or 1
-    keep, stay = 0.0, [0.0]
-    choice: list[bool] = []
-    for a, b in zip(lines, lines[1:]):
-        end = bool(re.search(r"[.:!?…][\"»”)]*$", a))
-        short = len(a) < 0.75 * width
-        heading = a.isupper() or a.endswith(":")
-        cost = (-1.0 if end else 1.5) + (-1.0 if short else 0.6) + (-1.0 if heading else 0.0) + (0.0 if b[:1].isupper() or not b[:1].isalpha() else 1.5)
-        choice.append(cost < 0)
-        keep += min(0.0, cost)
-        stay.append(keep)
-    out = [lines[0]]
-    for broke, line in zip(choice, lines[1:], strict=True):
-        if broke:
-            out.append(line)
-        else:
-            out[-1] += " " + line
-    return out
+    ends = [bool(re.search(r"[.:!?…][\"»”)]*$", a)) for a in lines]
+    heads = [a.isupper() or a.endswith(":") for a in lines]
+    broken = [1.2 if not (e or h) else 0.0 for e, h in zip(ends, heads, strict=True)]
+    # state: whether the line opens its paragraph; value: cost so far and the places of the boundaries
+    opens: tuple[float, tuple | None] = (0.0, None)
+    inside: tuple[float, tuple | None] = (1e9, None)
+    for k in range(1, len(lines)):
+        a, b = lines[k - 1], lines[k]
+        cost = (-1.0 if ends[k - 1] else 1.2) + (-1.3 if len(a) < 0.75 * width else 0.6) + (-1.0 if heads[k - 1] else 0.0) + (0.0 if b[:1].isupper() or not b[:1].isalpha() else 1.5)
+        alone, more = opens[0] + broken[k - 1] + cost, inside[0] + cost
+        stay = min(opens, inside, key=lambda x: x[0])
+        opens = (alone, (k, opens[1])) if alone <= more else (more, (k, inside[1]))
+        inside = stay
+    _, path = min(opens, inside, key=lambda x: x[0])  # the last line may be cut off
+    cuts = [len(lines)]
+    while path:
+        cuts.append(path[0])
+        path = path[1]
+    cuts = [0, *cuts[::-1]]
+    return [" ".join(lines[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def corpus_words(documents: DataFrame) -> Words:
-    return Words(vocabulary([documents.select("full_text")], least=2, most=80_000))
+    return Words(vocabulary([documents.select("full_text")], least=2))
 
 
 def noise(documents: DataFrame, words: Words | None = None) -> DataFrame:
@@ -340,7 +421,7 @@ def noise(documents: DataFrame, words: Words | None = None) -> DataFrame:
             if text:
                 kinds: dict[str, list] = {}
                 for kind, found, restored in analyse(text, held.value)[1]:
-                    if kind != "merge":
+                    if kind not in ("merge", "line_join"):
                         kinds.setdefault(kind, []).append(f"{found} > {restored}")
                 for kind, found in kinds.items():
                     yield i, kind, len(found), found[0]
