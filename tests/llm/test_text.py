@@ -64,6 +64,20 @@ def test_units(spark):
 # --- 3
 
 
+def test_any_number_of_wrong_readings_is_undone():
+    for reader, rounds in (("cp1252", 4), ("cp1254", 4), ("iso8859_15", 4), ("mac_roman", 4), ("cp1250", 2), ("cp1251", 1), ("koi8_r", 1)):
+        for good in ("sesión", "Martínez", "niño", "útil"):
+            bad = good
+            for _ in range(rounds):
+                bad = encoding._read(bad.encode(), reader)
+                assert encoding.damage(bad) and encoding.restore(bad) == good
+
+
+def test_letters_of_other_languages_stay():
+    for text in ("«АБВГ» дом", "Гёте писал", "Łódź ŻÓŁĆ", "Ωμέγα", "În anul Ăla", "cœur naïve façade"):
+        assert not encoding.damage(text) and encoding.restore(text) == text
+
+
 @pytest.mark.parametrize("good", ["declaró según el daño de la Cámara, así", "MÓNICA PÉREZ MUÑOZ LUCÍA", "N° 5 y 1ª"])
 @pytest.mark.parametrize("reader", ["cp1252", "cp850", "cp437", "mac_roman"])
 def test_utf8_read_wrongly_is_restored(good, reader):

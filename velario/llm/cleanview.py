@@ -28,11 +28,10 @@ def view(text: str, pages: bool) -> tuple[str, list[int]]:
     """The clean view and its offsets; ``pages``: empty lines part pages, whose furniture is left out."""
     chars, at = text, list(range(len(text)))
     if re.search(encoding.SUSPECT, text):
-        for _ in range(3):
-            spans = [s for s in encoding.damage(chars, KNOWN) if s[2] is not None]
-            if not spans:
-                break
+        spans, last = encoding.next_repair(chars, KNOWN)
+        while spans:
             chars, at = _splice(chars, at, spans)
+            spans, last = encoding.next_repair(chars, KNOWN, last)
         chars, at = _plain(chars, at)
     if pages and "\n\n" in text:
         chars, at = _without_furniture(chars, at)

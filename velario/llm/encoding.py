@@ -2,9 +2,10 @@
 
 Method: the garbled sequences of all encoding pairs are computed beforehand from the codecs and matched with a multi-pattern
 automaton; only matched spans are replaced, so that correct text around them stays. Sequences of several characters (UTF-8 read
-as a one-byte encoding, once or twice) stand for themselves. A single garbled character (one one-byte encoding read as
-another) also exists in correct text, so it counts only where correct text cannot hold it: inside a word as a symbol, as a
-letter of the wrong case, or where only the restored word is known.
+as a one-byte encoding, any number of times) stand for themselves; where the reader was made for another script or language they
+count only beside a Latin letter. They are undone round by round until none is left, and every round shortens the text. Only then
+are single garbled characters looked at (one one-byte encoding read as another): they also exist in correct text, so each counts
+only where correct text cannot hold it: inside a word as a symbol, as a letter of the wrong case, or where only the restored word is known.
 
 Defined results: null and empty texts are never damaged; U+FFFD is damage that is restored only where one known word fits, else it stays;
 foreign words and free-standing symbols stay; repeated rows give one row.
@@ -12,15 +13,17 @@ foreign words and free-standing symbols stay; repeated rows give one row.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, spread
+from .common import SHARE, arrow_rows, spread
 
 ONE_BYTE = ("cp1252", "cp850", "cp437", "mac_roman")
+#: Readers made for other languages: their garbled sequences are letters of those.
+OTHER_READERS = ("cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r")
 #: Letters and marks of Spanish and its neighbours that a damaged ruling may have held (fixed values).
 LETTERS = "áéíóúüñÁÉÍÓÚÜÑãõâêôàèìòùçäëïöÃÕÂÊÔÀÈÇÄËÏÖß"
 MARKS = "¡¿ºª°«»·×Ø§£€–—‘’“”…†•"
@@ -32,23 +35,27 @@ WRONG_CASE = "(?<=[a-záéíóúñü][ÁÉÍÓÚÑÜ])|(?<=[A-ZÁÉÍÓÚÑÜ][
 GATE = rf"[^\x00-\x7F](?:(?<={SUSPECT})|{WRONG_CASE})"
 
 
-def _read(raw: bytes, encoding: str) -> str | None:
-    """Decode as lenient readers do: bytes that cp1252 leaves open become C1 controls."""
-    if encoding != "cp1252":
-        return raw.decode(encoding)
-    return "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
+def _read(raw: bytes, encoding: str) -> str:
+    """Decode as lenient readers do: bytes that an encoding leaves open become C1 controls."""
+    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in raw)
 
 
 @cache
 def sequences() -> ahocorasick.Automaton:
-    """Garbled sequence -> original, of all characters that take several bytes, for every one-byte reader."""
-    ranges = [*range(0x80, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x2010, 0x2045), 0x20AC, 0x2122, *range(0x2200, 0x2600), *range(0x3001, 0x3100), *range(0x4E00, 0xA000), *range(0xFF01, 0xFF61), *range(0xFB00, 0xFB03)]
+    """Garbled sequence -> (length, original, sure, beside a Latin letter only), of all characters that take several bytes, for every
+    one-byte reader. Where two readers give one sequence, the first stands."""
+    latin = [*range(0x80, 0x180), 0x20AC, 0x2122, *range(0x2010, 0x2045)]
+    every = [*latin, *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x2200, 0x2600), *range(0x3001, 0x3100), *range(0x4E00, 0xA000), *range(0xFF01, 0xFF61), *range(0xFB00, 0xFB03)]
+    # what a reader can make of a byte may be garbled a second time
+    made = [ord(_read(bytes([b]), e)) for e in (*ONE_BYTE, *OTHER_READERS) for b in range(0x80, 0x100)]
     a = ahocorasick.Automaton()
-    for code in ranges:
-        for encoding in (*ONE_BYTE, "latin-1"):
-            g = _read(chr(code).encode(), encoding)
-            sure = code < 0x180 or 0x2010 <= code < 0x2600 or code >= 0xFB00
-            a.add_word(g, (len(g), chr(code), sure))
+    for readers, codes, beside in (((*ONE_BYTE, "latin-1"), [*every, *made], False), (OTHER_READERS, [*latin, *made], True)):
+        for code in dict.fromkeys(codes):
+            for encoding in readers:
+                g = _read(chr(code).encode(), encoding)
+                if g not in a:
+                    sure = code < 0x180 or 0x2010 <= code < 0x2600 or code >= 0xFB00
+                    a.add_word(g, (len(g), chr(code), sure, beside))
     a.make_automaton()
     return a
 
@@ -81,12 +88,18 @@ def _pick(c: str, upper: bool, choices: frozenset[str]) -> str | None:
     return next((x for x in "áóíéúñÁÓÍÉÚÑüÜãçõâêôàÃÇÕÂÊÔÀ" if x in fit), None)
 
 
-def _known(text: str, i: int, known: frozenset[str] | set[str], choices: str) -> str | None:
+@lru_cache(8)
+def longest(known: frozenset[str]) -> int:
+    """Letters of the longest known word."""
+    return max(map(len, known), default=0)
+
+
+def _known(text: str, i: int, known: frozenset[str], choices: str) -> str | None:
     """The choice with which the word around place i is a known word, if any."""
-    a, b = i, i + 1
-    while a and i - a < 40 and text[a - 1].isalpha():
+    a, b, reach = i, i + 1, longest(known)  # further letters than any known word has decide nothing
+    while a and i - a <= reach and text[a - 1].isalpha():
         a -= 1
-    while b < len(text) and b - i < 40 and text[b].isalpha():
+    while b < len(text) and b - i <= reach and text[b].isalpha():
         b += 1
     capitals = text[a:i].isupper() and text[i + 1 : i + 2].isupper() or not text[a:i] and text[i + 1 : i + 3].isupper()
     for x in choices:
@@ -98,7 +111,7 @@ def _known(text: str, i: int, known: frozenset[str] | set[str], choices: str) ->
     return None
 
 
-def single(text: str, i: int, known: frozenset[str] | set[str]) -> str | None:
+def single(text: str, i: int, known: frozenset[str]) -> str | None:
     """The original of a garbled single character at place i, or None if it may be correct."""
     c = text[i]
     p, n = text[i - 1] if i else " ", text[i + 1] if i + 1 < len(text) else " "
@@ -106,12 +119,12 @@ def single(text: str, i: int, known: frozenset[str] | set[str]) -> str | None:
     if c == "\xa0":
         if not p.isalpha():
             return None
-        a = i
-        while a and i - a < 40 and text[a - 1].isalpha():
+        a, reach = i, longest(known)
+        while a and i - a <= reach and text[a - 1].isalpha():
             a -= 1
         left = text[a:i]
         b = i + 1
-        while b < len(text) and b - i < 40 and text[b].isalpha():
+        while b < len(text) and b - i <= reach and text[b].isalpha():
             b += 1
         right = text[i + 1 : b]
         for w in (left + "á" + right,):
@@ -172,21 +185,30 @@ def single(text: str, i: int, known: frozenset[str] | set[str]) -> str | None:
     return "ú" if c == "˙" and n.isalpha() else None
 
 
-def damage(text: str, known: frozenset[str] | set[str] = frozenset()) -> list[tuple[int, int, str | None]]:
-    """Damaged spans (start, end, original or None), disjoint and in order."""
-    found: list[tuple[int, int, str | None, bool]] = []
-    for end, (size, good, sure) in sequences().iter(text):
-        found.append((end - size + 1, end + 1, good, sure))
+def _beside_latin(text: str, a: int, b: int) -> bool:
+    p, n = text[a - 1 : a], text[b : b + 1]
+    return p.isascii() and p.isalpha() or n.isascii() and n.isalpha()
+
+
+def garbled(text: str) -> list[tuple[int, int, str]]:
+    """Spans of garbled sequences of several characters, longest first at each place, disjoint and in order."""
+    found = [(end - size + 1, end + 1, good, sure, beside) for end, (size, good, sure, beside) in sequences().iter(text)]
     found.sort(key=lambda x: (x[0], -x[1]))
-    spans: list[tuple[int, int, str | None]] = []
-    kept: list[tuple[int, int, str | None, bool]] = []
+    kept: list[tuple[int, int, str, bool, bool]] = []
     for f in found:
-        if not kept or f[0] >= kept[-1][1]:
+        if (not kept or f[0] >= kept[-1][1]) and (not f[4] or _beside_latin(text, f[0], f[1]) or kept and kept[-1][1] == f[0]):
             kept.append(f)
+    spans = []
     for k, f in enumerate(kept):  # letters of other scripts come in words
         near = any(0 <= k + d < len(kept) and (kept[k + d][0] == f[1] or kept[k + d][1] == f[0]) for d in (-1, 1))
-        if f[3] or near or (f[1] - f[0] > 2):
+        if f[3] or near or f[1] - f[0] > 2:
             spans.append(f[:3])
+    return spans
+
+
+def damage(text: str, known: frozenset[str] = frozenset()) -> list[tuple[int, int, str | None]]:
+    """Damaged spans (start, end, original or None), disjoint and in order."""
+    spans: list[tuple[int, int, str | None]] = list(garbled(text))
     taken = {i for a, b, _ in spans for i in range(a, b)}
     for i, c in enumerate(text):
         if c > "\x7f" and i not in taken:
@@ -205,27 +227,39 @@ def damage(text: str, known: frozenset[str] | set[str] = frozenset()) -> list[tu
     return sorted(spans)
 
 
-def restore(text: str, known: frozenset[str] | set[str] = frozenset(), rounds: int = 3) -> str:
-    """The text with every restorable damaged span replaced; several wrong decodings are undone one after another."""
-    for _ in range(rounds):
-        spans = [s for s in damage(text, known) if s[2] is not None]
+def next_repair(text: str, known: frozenset[str], last: bool = False) -> tuple[list[tuple[int, int, str]], bool]:
+    """The spans to replace next, and whether they are the last: garbled sequences while there are any, then single characters once."""
+    if last:
+        return [], True
+    if spans := garbled(text):
+        return spans, False
+    return [s for s in damage(text, known) if s[2] is not None], True
+
+
+def restore(text: str, known: frozenset[str] = frozenset()) -> str:
+    """The text with every restorable damaged span replaced; several wrong decodings are undone one after another, the outermost first.
+
+    A sequence is always longer than what it restores, so the rounds end. If what remains looks more damaged than before, the text stays."""
+    last, best, old = False, len(damage(text, known)), text
+    while True:
+        spans, last = next_repair(text, known, last)
         if not spans:
-            return text
+            return text if len(damage(text, known)) <= best else old
         out, at = [], 0
         for a, b, good in spans:
             out += [text[at:a], good]
             at = b
         text = "".join([*out, text[at:]])
-    return text
 
 
-def accented_words(texts: list[DataFrame], most: int = 20_000) -> frozenset[str]:
-    """The ordinary accented words of all rows, counted by JVM expressions; at most ``most`` (a bounded broadcast)."""
+def accented_words(texts: list[DataFrame], share: float = SHARE) -> frozenset[str]:
+    """The ordinary accented words of all rows, counted by JVM expressions; at most 1 / ``share`` (a bounded broadcast)."""
     every = None
     for df in texts:
         part = df.where(F.col(df.columns[0]).rlike("[áéíóúñÁÉÍÓÚÑ]")).select(F.explode(F.regexp_extract_all(F.col(df.columns[0]), F.lit(r"(?<![^ \n])[a-zA-Z]*[áéíóúñÁÉÍÓÚÑ][a-zA-ZáéíóúñÁÉÍÓÚÑ]*(?=[ ,.;:\n]|$)"), F.lit(0))).alias("w"))
         every = part if every is None else every.unionAll(part)
-    rows = every.groupBy("w").count().where("count >= 3").orderBy(F.desc("count"), "w").limit(most).collect()
+    counts = every.groupBy("w").agg(F.count("*").alias("n"))
+    rows = counts.where((F.col("n") >= 3) & (F.col("n") >= counts.agg(F.sum("n")).scalar() * F.lit(share))).collect()
     return frozenset(r.w for r in rows)
 
 

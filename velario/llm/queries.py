@@ -46,7 +46,7 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
     docs, spans = _t(spark, d, "pdf_documents"), _t(spark, d, "pdf_spans")
-    return encoding.damaged(encoding.records(docs, spans), encoding.accented_words([spans.select("text")]))
+    return encoding.damaged(encoding.records(docs, spans), encoding.accented_words([spans.select("text"), docs.select("full_text")]))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
