@@ -169,3 +169,29 @@ def test_pairs_of_tables(spark):
     assert {(r.party_id_a, r.party_id_b) for r in parties.pairs(df).collect()} == {(1, 2), (1, 8), (2, 8)}
     assert {r.party_id: r.n_links for r in parties.linked(df).collect()} == {1: 1, 2: 1, 8: 1, 3: 0, 6: 0, 7: 0}
     assert parties.pairs(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("a, b", [("María", "Mario"), ("Juan", "Juana"), ("Daniel", "Daniela"), ("Julio", "Julia"), ("Martín", "Martina"), ("Carla", "Carlo")])
+def test_relatives_of_another_gender_are_different(a, b):
+    for x, y in ((f"Pérez, {a}", f"Pérez, {b}"), (f"{a} Pérez", f"{b} Pérez"), (f"{a} Pérez", f"PÉREZ, {b.upper()}")):
+        assert not parties.same_party(x, y)
+    assert parties.same_party(f"Peres, {a}", f"{a} Pérez") and parties.same_party(f"GARBENIETA, {a}", f"GARBENIETO, {a}")
+
+
+def test_large_groups_are_split_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(parties, "HOT", 20)
+    rows = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 100), (2, 101), (3, 200)], "k bigint, id bigint")
+    got = {tuple(r) for r in parties.self_pairs(rows, "k", "id").collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60)} | {(100, 101)}
+
+
+def test_components_settle_or_fail(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    found = parties.components(edges, spark.range(41))
+    assert {r.component for r in found.collect()} == {0}
+    with pytest.raises(RuntimeError):
+        parties.components(edges, spark.range(41), 1)
+
+
+def test_edit_distance_is_linear_and_exact():
+    assert parties.edits("a" * 5000 + "bc", "a" * 5000 + "cb") == 1 and parties.edits("x" * 80, "y" * 80) == 3 and parties.edits("", "ab") == 2 and parties.edits("", "abc") == 3

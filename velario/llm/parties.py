@@ -44,6 +44,12 @@ NICKNAMES = {
 }
 #: A nickname of two given names is written with the one above; these are its others.
 ALSO = {"alberto": ("roberto", "norberto", "humberto"), "alejandra": ("alejandro",), "hector": ("roberto", "ernesto"), "patricia": ("patricio",)}
+#: Given names told apart where no comma shows which part is the surname (fixed values; the full forms of the nicknames are added).
+GIVEN = frozenset(NICKNAMES.values()) | frozenset(
+    """maria mario jose josefa juan juana luis luisa carlos carla carlo ana rosa elena pedro pablo paula miguel angel angela raul oscar hugo marta norma silvia silvio susana laura lauro sofia
+    martin martina diego jorge alberto roberto roberta ricardo eduardo ines esteban walter nestor bruno bruna gustavo claudia claudio adriana adrian andrea andres marcela marcelo teresa
+    julia julio cesar ramon ramona daniel daniela gabriel gabriela victor victoria emilio emilia fernando fernanda lucio lucia franco franca mariano mariana cecilia cecilio""".split()
+)
 LINKS = frozenset("de del la las los el da do dos das von van di".split())
 
 
@@ -118,6 +124,13 @@ def alike(a: str, b: str) -> float:
     return 0.0
 
 
+def other_gender(a: str, b: str) -> bool:
+    """Whether two given names differ by what tells a man's name from a woman's: a final vowel more, or another one."""
+    if len(a) > len(b):
+        a, b = b, a
+    return len(a) > 2 and (len(b) == len(a) + 1 and b[:-1] == a and b[-1] in "ao" and b[-1] != a[-1] or len(a) == len(b) and a[:-1] == b[:-1] and a[-1] + b[-1] in ("ao", "oa", "ae", "ea", "oe", "eo"))
+
+
 @lru_cache(50_000)
 def _kind_of(token: str) -> str | None:
     if token in KINDS:
@@ -170,18 +183,26 @@ def initials(kind: str, tokens: tuple[str, ...]) -> str:
     return kind[:1] + "".join(t[0] for t in tokens if t not in LINKS)
 
 
-def _align(few: tuple[str, ...], many: tuple[str, ...]) -> list[float] | None:
+def _align(few: tuple[str, ...], many: tuple[str, ...], surnames: frozenset[str] | None = frozenset()) -> list[float] | None:
     """Likeness of each token of the shorter name with its partner in the longer one; None if one has no partner.
 
-    Equal initials count as initials: they prove no more than an initial beside a full word.
+    Equal initials count as initials: they prove no more than an initial beside a full word. ``surnames``: tokens known to be such;
+    given names of another gender have no likeness (relatives). None: no persons.
     """
+
+    def near(t: str, x: str) -> float:
+        if surnames is not None and t != x and other_gender(t, x) and not (t in surnames and x in surnames):
+            if t in GIVEN or x in GIVEN or surnames and t not in surnames and x not in surnames:
+                return 0.0
+        return alike(t, x)
+
     free, out = list(many), []
     for t in sorted(few, key=lambda x: -len(x)):
-        best = max(free, key=lambda x: (alike(t, x), len(x)), default=None)
-        if best is None or not alike(t, best):
+        best = max(free, key=lambda x: (near(t, x), len(x)), default=None)
+        if best is None or not near(t, best):
             return None
         free.remove(best)
-        out.append(min(0.6, alike(t, best)) if len(t) == 1 else alike(t, best))
+        out.append(min(0.6, near(t, best)) if len(t) == 1 else near(t, best))
     return out
 
 
@@ -202,13 +223,13 @@ def same_party(a: str, b: str) -> bool:
             return False
         if len(ta) != len(tb):
             return "".join(sorted("".join(ta))) == "".join(sorted("".join(tb))) if ka == kb else False
-        got = _align(ta, tb)
+        got = _align(ta, tb, None)
         return got is not None and min(got) >= 0.8 and sum(x < 0.95 for x in got) <= 2
     few, many, sf, sm = (ta, tb, sa, sb) if len(ta) <= len(tb) else (tb, ta, sb, sa)
     few, many = tuple(t for t in few if t not in LINKS), tuple(t for t in many if t not in LINKS)
     if len(few) < 2:
         return len(few) == len(many) == 1 and code(few[0]) == code(many[0])
-    got = _align(few, many)
+    got = _align(few, many, frozenset(sa) | frozenset(sb))
     if got is None or sum(0.6 < x < 0.9 for x in got) > 2 or sum(x > 0.6 for x in got) < 1:
         return False
     if sf and sm:  # both say which part is the surname: the first surnames must agree, and the first given names
@@ -246,8 +267,27 @@ def keys(folder: str, name: str) -> list[int]:
     return [xxhash.xxh64_intdigest(f"{folder}\0{k}") - (1 << 63) for k in sorted(out)]
 
 
-def components(edges: DataFrame, vertices: DataFrame, rounds: int = 30) -> DataFrame:
-    """id, component (smallest id) of every vertex; hash-to-minimum with a reliable checkpoint of every round."""
+#: Blocks and components of more rows than HOT are split over SALTS tasks each.
+HOT, SALTS = 400, 32
+
+
+def self_pairs(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """a < b of every two items of a key. The rows of a large key meet each other in SALTS tasks, each with a part of the left side."""
+    left, right = rows.select(key, F.col(item).alias("a")), rows.select(key, F.col(item).alias("b"))
+    large = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.lit(True).alias("large")).checkpoint()
+    if large.isEmpty():
+        return left.join(right, key).where("a < b").select("a", "b")
+    one = F.when(F.col("large"), F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).otherwise(0)
+    every = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.join(large, key, "left").select(key, "a", one.alias("salt"))
+    right = right.join(large, key, "left").select(key, "b", F.explode(every).alias("salt"))
+    return left.join(right, [key, "salt"]).where("a < b").select("a", "b")
+
+
+def components(edges: DataFrame, vertices: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, component (smallest id) of every vertex; hash-to-minimum with a reliable checkpoint of every round.
+
+    Labels jump to the label of their label, so rounds grow with the logarithm of the longest chain; not settled after ``rounds`` is an error."""
     edges = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = vertices.select("id", F.col("id").alias("component"))
     for _ in range(rounds):
@@ -258,8 +298,8 @@ def components(edges: DataFrame, vertices: DataFrame, rounds: int = 30) -> DataF
         changed = new.where("component <> old").limit(1).count()
         labels = new.select("id", "component")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 def linked(parties: DataFrame) -> DataFrame:
@@ -277,7 +317,7 @@ def linked(parties: DataFrame) -> DataFrame:
 
     # blocks and pairs carry ids only; the spellings join the distinct pairs
     blocks = arrow_rows(spread(nodes.select("id", "folder", "nombre"), "id"), "k bigint, id bigint", block).checkpoint()
-    candidates = blocks.withColumnRenamed("id", "a").join(blocks.withColumnRenamed("id", "b"), "k").where("a < b").select("a", "b").distinct()
+    candidates = self_pairs(blocks, "k", "id").distinct()
     spelt = candidates.join(nodes.select(F.col("id").alias("a"), F.col("nombre").alias("na")), "a").join(nodes.select(F.col("id").alias("b"), F.col("nombre").alias("nb")), "b")
 
     def compare(rows) -> Iterator[tuple]:
@@ -294,6 +334,4 @@ def linked(parties: DataFrame) -> DataFrame:
 
 def pairs(parties: DataFrame) -> DataFrame:
     """party_id_a, party_id_b of every two parties of one cluster."""
-    rows = linked(parties).select("party_id", "component")
-    a, b = rows.select("component", F.col("party_id").alias("party_id_a")), rows.select("component", F.col("party_id").alias("party_id_b"))
-    return a.join(b, "component").where("party_id_a < party_id_b").select("party_id_a", "party_id_b")
+    return self_pairs(linked(parties).select("party_id", "component").checkpoint(), "component", "party_id").select(F.col("a").alias("party_id_a"), F.col("b").alias("party_id_b"))

@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 
 from .common import fold
-from .parties import KIND_WORDS, KINDS, LINKS, NICKNAMES, TITLES, code
+from .parties import GIVEN, KIND_WORDS, KINDS, LINKS, NICKNAMES, TITLES, code
 from .sentences import OPENERS
 
 UP, LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ�"
@@ -136,12 +136,6 @@ def _features(n: Node, k: int, run: list[Node], shared: list[str]) -> list[str]:
     return fs
 
 
-GIVEN = frozenset(NICKNAMES.values()) | frozenset(
-    """maria jose juan luis carlos ana rosa elena pedro pablo miguel angel raul oscar hugo mario sergio marta norma nilda silvia susana laura paula sofia martin diego jorge
-    alberto roberto ricardo eduardo ines esteban walter nestor bruno gustavo claudia adriana andrea marcela liliana teresa julia julio cesar ramon""".split()
-)
-
-
 class Model:
     """Feature weights and edge strengths."""
 
