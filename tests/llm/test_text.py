@@ -42,6 +42,14 @@ def test_trie_picks_the_frequent_spelling_among_ties():
     assert lookalike.canonical("а" * 50_000) == "a" * 50_000
 
 
+def test_the_automaton_weighs_its_edits():
+    t = lookalike.Trie({"notificar": 40, "causa": 90, "cansa": 2, "acta": 30})
+    assert t.nearest("noтificar") == "notificar" and t.nearest("caυsa") == "causa"  # letters that look alike from afar
+    assert t.nearest("ac\u0323ta") == "acta" and t.nearest("пппп") is None  # an accent no letter takes; too dear
+    assert lookalike.canonical("no\u0442ificar", t) == "notificar" and lookalike.canonical("no\u0442ificar") == "no\u0442ificar"  # the trie decides
+    assert lookalike.canonical("notiflcar", t) == "notiflcar"  # ordinary letters stand for themselves
+
+
 def test_the_trie_decides_between_readings_of_a_look_alike():
     t = lookalike.Trie({"la": 900, "caballo": 20, "Inés": 5, "ll": 70, "Ia": 3})
     read = lambda x: lookalike.canonical(x, t)

@@ -1,9 +1,11 @@
 """Problem 1: one consistent form for text that looks the same.
 
-Method: a trie of the ordinary words of the corpus is traversed with an automaton in which look-alikes and ignorable characters
-cost nothing, a letter of another script that looks like I or l may be either, and no other change is allowed; of the spellings reached
-the most frequent is taken. Roman numerals and tokens that reach no spelling are normalised by table. Words quoted in a foreign script stay as they are: a word that
-holds a letter without Latin look-alike, and words of look-alikes beside such a word.
+Method: a trie of the ordinary words of the corpus is traversed with a weighted edit automaton: look-alikes and ignorable characters
+cost nothing, a letter of another script that looks like I or l may be either at a small cost, a letter that looks like another one
+only from afar and an accent that no letter takes cost more; ordinary characters stand for themselves. Of the spellings reached the one
+of the best balance of frequency and cost is taken. Roman numerals and tokens that reach no spelling are normalised by table. Words
+quoted in a foreign script stay as they are: a word that holds a letter without Latin look-alike (and reaches no spelling), and words
+of look-alikes beside such a word.
 
 Defined results: null stays null, an empty text stays empty; typographic quotes, dashes, degree and ordinal signs are ordinary;
 letters of other Latin-script languages stay; a combining accent is joined to its letter where a single character exists.
@@ -13,7 +15,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from functools import cache
+from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,10 @@ CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυχιϳάόίΆΈΊΌ", "ABEZHIKMNOPTYXavopuxijáóíÁÉÍÓ", strict=True))
 OTHERS = {"ĳ": "ij", "Ĳ": "IJ", "ŉ": "'n", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ı": "i", "ɡ": "g", "ɑ": "a", "‐": "-", "‑": "-", "−": "-", "⁃": "-", "․": ".", "⁄": "/", "∕": "/", "∶": ":", "ꓸ": ".", "‚": ",", "׃": ":", "ʼ": "'", "ʹ": "'", "ǃ": "!"}
 LOOK = CYRILLIC | GREEK
+#: Letters that look like a Latin one from afar: read so only inside a word of Latin letters that the corpus holds (fixed values).
+AFAR = dict(zip("гкмнптувйїηκρτυωγσ", "rkmhntubñínkptuwyo", strict=True))
+#: Costs of the automaton, the most that a word may cost, and how much frequency outweighs one unit of cost (a factor of e ** BALANCE).
+SWAP, FAR, STRAY_ACCENT, MOST, BALANCE = 0.25, 0.75, 0.5, 1.5, 4.0
 IGNORABLE = "­͏؜ᅟᅠ឴឵᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿︎️"
 BLANKS = "               　"
 SUSPECT = encoding.SUSPECT
@@ -55,44 +63,53 @@ EAST_MARKS = "，．：；！？（）［］／－～％０１２３４５６７
 
 
 class Trie:
-    """Words with counts; at most the bound of the vocabulary."""
+    """Words with counts; at most the bound of the vocabulary. Sorted words are the trie: a node is the range that shares a beginning."""
 
     def __init__(self, counts: dict[str, int]):
-        self.root: dict = {}
-        for w, n in counts.items():
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = n
+        self.counts, self.words = counts, sorted(counts)
+
+    def _step(self, node: tuple[int, int, int], letters: str) -> tuple[int, int, int] | None:
+        lo, hi, d = node
+        for x in letters:
+            letter = lambda w, d=d: w[d : d + 1]
+            lo = bisect_left(self.words, x, lo, hi, key=letter)
+            hi = bisect_right(self.words, x, lo, hi, key=letter)
+            if lo == hi:
+                return None
+            d += 1
+        return lo, hi, d
 
     def nearest(self, token: str) -> str | None:
-        """The most frequent word that the token may be read as; ordinary characters stand for themselves only."""
-        states: list[tuple[dict, int, str]] = [(self.root, 0, "")]
+        """The word that the token is read as, by frequency and cost of the edits; None if none is within reach."""
+        states = {(0, len(self.words), 0): 0.0}
         for c in token:
             if c in IGNORABLE:
                 continue
-            nxt = []
-            shown = plain(c) or LOOK.get(c) or c
-            options = (shown, *_case(shown)) if c in LOOK else (shown,)
-            for node, turned, word in states:
-                for x in options:
-                    at = node
-                    for k in x:
-                        at = at.get(k)
-                        if at is None:
-                            break
-                    if at is not None:
-                        nxt.append((at, turned + (x != shown), word + x))
+            nxt: dict[tuple[int, int, int], float] = {}
+            for node, cost in states.items():
+                for letters, more in _readings(c):
+                    at = self._step(node, letters) if cost + more <= MOST else None
+                    if at and cost + more < nxt.get(at, MOST + 1):
+                        nxt[at] = cost + more
             states = nxt
             if not states:
                 return None
-        ends = [(-node[""], turned, word) for node, turned, word in states if "" in node]
+        ends = [(BALANCE * cost - log(self.counts[w]), cost, w) for (lo, _, d), cost in states.items() if len(w := self.words[lo]) == d]
         return min(ends)[2] if ends else None
 
 
-def _case(c: str) -> tuple[str, ...]:
-    """Letters that look alike in one case only (I and l, 0 and O) may each be what a look-alike of the other shows."""
-    return {"I": ("l",), "l": ("I",), "O": ("0",), "0": ("O",)}.get(c, ())
+@cache
+def _readings(c: str) -> tuple[tuple[str, float], ...]:
+    """What a character may be read as, with the cost."""
+    if unicodedata.combining(c):
+        return (("", STRAY_ACCENT),)
+    shown = plain(c) or LOOK.get(c) or c
+    out = [(shown, 0.0)]
+    if c in LOOK:  # letters that look alike in one case only
+        out += [(x, SWAP) for x in {"I": "l", "l": "I", "O": "0"}.get(shown, "")]
+    if c in AFAR:
+        out.append((AFAR[c], FAR))
+    return tuple(out)
 
 
 def _kind(token: str) -> str:
@@ -127,7 +144,7 @@ def canonical(text: str | None, trie: Trie | None = None) -> str | None:
             out.append(w if w.isascii() or COMPLEX.search(w) else "".join(c for c in w if c not in IGNORABLE))
             continue
         shown = "".join("" if c in IGNORABLE else plain(c) or (LOOK.get(c, c) if kind != "latin" else c) for c in w)
-        if shown != w:
+        if shown != w or kind == "mixed" or any(map(unicodedata.combining, w)):
             shown = trie and not ROMAN.fullmatch(shown) and trie.nearest(w) or _compose(shown)
         out.append(shown)
     out.append(_outside(composed, at, len(composed)))
