@@ -23,6 +23,11 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
     return tables.documents(s, d)
 
 
+def _planted(s: SparkSession, d: str) -> DataFrame:
+    """All rulings and a few that hold what the tables lack (plates, account numbers, cited courts and cases)."""
+    return _docs(s, d).select("doc_id", "text").unionByName(s.createDataFrame(sql.PLANTED, "doc_id bigint, text string"))
+
+
 def _audits(s: SparkSession, d: str) -> DataFrame:
     return tables.once(tables.read(s, d, "audits"), "audit_id", "loaded_at")
 
@@ -35,8 +40,8 @@ def _said(s: SparkSession, d: str) -> DataFrame:
     return _parties(s, d).join(_audits(s, d).select("audit_id", "doc_id"), "audit_id").select("doc_id", "seq", "nombre", "rol")
 
 
-def _spans(s: SparkSession, d: str, of: Callable[[Column], Column], *extra: str) -> DataFrame:
-    rows = explode_spans(_docs(s, d).select("doc_id", of(F.col("text")).alias("spans")), "doc_id")
+def _spans(s: SparkSession, d: str, of: Callable[[Column], Column], *extra: str, docs: Callable[[SparkSession, str], DataFrame] = _docs) -> DataFrame:
+    rows = explode_spans(docs(s, d).select("doc_id", of(F.col("text")).alias("spans")), "doc_id")
     return rows.select("doc_id", F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text", *extra)
 
 
@@ -56,7 +61,7 @@ def cuit_spans(s, d):
 
 
 def cbu_spans(s, d):
-    return _spans(s, d, identifiers.cbu, "normalized")
+    return _spans(s, d, identifiers.cbu, "normalized", docs=_planted)
 
 
 def email_spans(s, d):
@@ -68,7 +73,7 @@ def phone_spans(s, d):
 
 
 def plate_spans(s, d):
-    return _spans(s, d, identifiers.plate, "formato")
+    return _spans(s, d, identifiers.plate, "formato", docs=_planted)
 
 
 def passport_spans(s, d):
@@ -102,8 +107,8 @@ def identifiers_redacted(s, d):
 # --- structure
 
 
-def _zones(s, d, of):
-    rows = _docs(s, d).select("doc_id", F.explode_outer(of(F.col("text"))).alias("z")).where("z is not null")
+def _zones(s, d, of, docs=_docs):
+    rows = docs(s, d).select("doc_id", F.explode_outer(of(F.col("text"))).alias("z")).where("z is not null")
     return rows.select("doc_id", "z.name", F.col("z.start").alias("char_start"), F.col("z.end").alias("char_end"), "z.default_role")
 
 
@@ -116,7 +121,7 @@ def signature_zone(s, d):
 
 
 def jurisprudence_zones(s, d):
-    return _zones(s, d, zones.jurisprudence)
+    return _zones(s, d, zones.jurisprudence, _planted)
 
 
 def doctrine_zones(s, d):
@@ -148,7 +153,7 @@ def doctrine_authors(s, d):
 
 
 def case_names(s, d):
-    return _spans(s, d, citations.case_names, "type")
+    return _spans(s, d, citations.case_names, "type", docs=_planted)
 
 
 def caption_parties(s, d):
@@ -444,7 +449,8 @@ def _queue(s, d):
     rows = a.join(n, "audit_id", "left").select(
         publish.stem(F.col("input_path")).alias("stem"), "n_pages", "n_replacements", "warnings", F.coalesce("n_parties", F.lit(0)).alias("n_parties"), "output_path", "finished_at"
     )
-    state = rows.select("stem", F.when(F.pmod(F.crc32("stem"), F.lit(4)) == 0, "approved").when(F.pmod(F.crc32("stem"), F.lit(4)) == 1, "needs_fix").alias("status")).where("status is not null")
+    last = F.ascii(F.right("stem", F.lit(1))) % 4
+    state = rows.select("stem", F.when(last == 0, "approved").when(last == 1, "needs_fix").alias("status")).where("status is not null")
     originals = _docs(s, d).select(publish.stem(F.col("path")).alias("stem"))
     return review.queue(originals, rows.drop("output_path", "finished_at"), rows.where("output_path is not null").select("stem"), state)
 

