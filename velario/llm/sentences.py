@@ -83,10 +83,10 @@ class Lexicon:
 
 
 #: How far above chance a word must be; longest learnt word; share of a word's places that must lie at an end or a beginning.
-COHESION, LONGEST_WORD, AT_ENDS = 8, 6, 0.5
+COHESION, LONGEST_WORD, AT_ENDS = 8, 4, 0.5
 #: A gram counts from this share of all characters on, so at most LONGEST_WORD / GRAM_SHARE grams are collected at any size.
 GRAM_SHARE, LEAST_GRAMS = 2e-5, 4
-SPACELESS = "\\u0e00-\\u0e7f\\u0e80-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u4e00-\\u9fff\\u3400-\\u4dbf"
+EASTERN = "\\u3040-\\u30ff\\u4e00-\\u9fff\\u3400-\\u4dbf"
 DEFAULT = Lexicon()
 
 
@@ -107,25 +107,22 @@ def segments(run: str, lexicon: Lexicon = DEFAULT) -> list[str]:
 
 
 def learn(rows: DataFrame) -> Lexicon:
-    """The dictionary of the spaceless scripts counted over all rows of a column ``text``; only rows that hold them are looked at twice."""
-    held = rows.where(F.col("text").rlike(f"[{SPACELESS}]")).select("text")
-    runs = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"[{SPACELESS}]+"), F.lit(0))).alias("run"))
+    """The dictionary of Chinese and Japanese counted over all rows of a column ``text`` (Thai gaps are decided by blanks and the fixed words).
 
-    def cut(run, size, at):
-        return F.substring(run, at, size)
+    Only unbroken runs of those scripts are counted."""
+    held = rows.where(F.col("text").rlike(f"[{EASTERN}]")).select(F.explode(F.regexp_extract_all("text", F.lit(f"[{EASTERN}。！？]+"), F.lit(0))).alias("run"))
+    total = held.agg(F.sum(F.length("run"))).first()[0] or 0
+
+    def found(kind: str, before: str, after: str, least: int) -> DataFrame:
+        """All places of every word of ``least`` letters or more between the two marks, by lookahead: one pass for each length."""
+        words_of = [F.regexp_extract_all("run", F.lit(f"{before}(?=([{EASTERN}]{{{n}}}){after})"), F.lit(1)) for n in range(least, LONGEST_WORD + 1)]
+        return held.select(F.explode(F.concat(*words_of)).alias("w"), F.lit(kind).alias("kind"))
 
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST_WORD)), lambda n: F.when(F.length("run") >= n, F.transform(F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: cut(F.col("run"), n, i))).otherwise(F.expr("cast(array() as array<string>)"))))
-    before = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"([{SPACELESS}]+)[。！？]"), F.lit(1))).alias("run"))
-    after = held.select(F.explode(F.regexp_extract_all("text", F.lit(f"[。！？]([{SPACELESS}]+)"), F.lit(1))).alias("run"))
-    ends = lambda of: F.transform(F.sequence(F.lit(2), F.lit(LONGEST_WORD)), lambda n: F.when(F.length("run") >= n, of(n)))
     counted = (
-        runs.select(F.explode(grams).alias("w"), F.lit("n").alias("kind"))
-        .unionAll(before.select(F.explode(ends(lambda n: F.right(F.col("run"), n))).alias("w"), F.lit("end").alias("kind")))
-        .unionAll(after.select(F.explode(ends(lambda n: F.left(F.col("run"), n))).alias("w"), F.lit("open").alias("kind")))
-        .where("w is not null").groupBy("w").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("n", "end", "open")])
+        found("n", "", "", 1).unionAll(found("end", "", "[。！？]", 2)).unionAll(found("open", "[。！？]", "", 2))
+        .groupBy("w").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("n", "end", "open")])
     )
-    total = counted.where("length(w) = 1").agg(F.sum("n")).scalar()
-    got = counted.where((F.col("n") >= LEAST_GRAMS) & (F.col("n") >= total * F.lit(GRAM_SHARE))).collect()
+    got = counted.where(F.col("n") >= max(LEAST_GRAMS, total * GRAM_SHARE)).collect()
     finals = frozenset(r.w for r in got if len(r.w) > 1 and r.end >= AT_ENDS * r.n)
     openers = frozenset(r.w for r in got if len(r.w) > 1 and r.open >= AT_ENDS * r.n)
     return Lexicon({r.w: r.n for r in got}, finals, openers)
@@ -363,9 +360,9 @@ def sentence_units(rows: DataFrame, lexicon: Lexicon | None = None) -> DataFrame
             for k, (a, b) in enumerate(units(text, held.value)):
                 yield kind, i, k + 1, a, b, text[a:b]
 
-    return arrow_rows(rows.where(F.col("text").isNotNull()), "unit_kind string, unit_id bigint, sent_no int, char_start int, char_end int, sentence string", run)
+    return arrow_rows(spread(rows.where(F.col("text").isNotNull()), "unit_id"), "unit_kind string, unit_id bigint, sent_no int, char_start int, char_end int, sentence string", run)
 
 
 def inputs(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
-    a = spread(sentences.select(F.lit("sentence").alias("unit_kind"), F.col("sentence_id").alias("unit_id"), "text"), "unit_id")
-    return a.unionAll(spread(chunks.select(F.lit("chunk").alias("unit_kind"), F.col("chunk_id").alias("unit_id"), "text"), "unit_id"))
+    a = sentences.select(F.lit("sentence").alias("unit_kind"), F.col("sentence_id").alias("unit_id"), "text")
+    return a.unionAll(chunks.select(F.lit("chunk").alias("unit_kind"), F.col("chunk_id").alias("unit_id"), "text"))
