@@ -1,6 +1,7 @@
 """Personal data in texts, and variant names of parties."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -195,3 +196,34 @@ def test_components_settle_or_fail(spark):
 
 def test_edit_distance_is_linear_and_exact():
     assert parties.edits("a" * 5000 + "bc", "a" * 5000 + "cb") == 1 and parties.edits("x" * 80, "y" * 80) == 3 and parties.edits("", "ab") == 2 and parties.edits("", "abc") == 3
+
+
+def test_names_never_seen_in_training():
+    """Names and phrases written by hand that no training text holds; no name is a feature of the model."""
+    from .held_out import SENTENCES
+
+    model = persons.Model.load()
+    true = found = both = 0
+    for line in SENTENCES:
+        want, text = set(), ""
+        for k, part in enumerate(re.split(r"\[\[(.*?)\]\]", line)):
+            if k % 2:
+                want.add((len(text), len(text) + len(part)))
+            text += part
+        got = {(a, b) for kind, a, b in pii.found_in([(text, False)], model)[0] if kind == "name"}
+        true, found, both = true + len(want), found + len(got), both + len(want & got)
+    assert both / found >= 0.85 and both / true >= 0.85
+    assert not any(w[2:] in persons.fold(" ".join(SENTENCES)).split() for w in model.weights if w.startswith("w=") and w[2:] in ("quiroga", "bustos", "zabala"))
+
+
+def test_long_addresses_of_mail_and_far_numbers():
+    box = "a" * 120
+    text = f"Contacto: {box}@correo.com.ar y DNI {' ' * 90}N° 20.123.456."
+    got = {(k, text[a:b]) for k, a, b in pii.found_in([(text, False)], persons.Model.load())[0]}
+    assert ("email", f"{box}@correo.com.ar") in got and ("id_number", "20.123.456") in got
+
+
+def test_a_document_does_not_depend_on_its_batch():
+    model, texts = persons.Model.load(), ["El actor Juan Pérez negó los hechos.", "Los Testigos de Villa Serena.", "El juez Pablo Ruiz votó. Pablo Ruiz firmó.", "x " * 50]
+    together = pii.found_in([(t, False) for t in texts], model)
+    assert together == [pii.found_in([(t, False)], model)[0] for t in texts]

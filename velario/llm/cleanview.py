@@ -18,6 +18,7 @@ STROKE = re.compile(rf"(?<=[{LETTER}])[|~`^](?=[{LETTER}])|(?<=[{LETTER}]{{2}})'
 GLYPH = re.compile(rf"(?<![\w@.])[{LETTER}]*(?:[0159!@8$][{LETTER}]+|[{LETTER}]+[0159!@8$])[{LETTER}]*(?![\w@/-])")
 #: A figure or sign beside a letter: where a misread word may be.
 ODD = re.compile(rf"[0159!@8$](?=[{LETTER}]{{2}})|(?<=[{LETTER}])[0159!@8$]")
+DOMAIN = re.compile(r"@[\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}")
 OTHER = re.compile(r"[^\x00-\x7f]")
 WORDLIKE = re.compile(rf"[{LETTER}0159!@8$]")
 GLYPHS = str.maketrans({"0": "o", "1": "l", "5": "s", "9": "g", "!": "i", "@": "a", "8": "b", "$": "s"})
@@ -57,6 +58,8 @@ def view(text: str, pages: bool) -> tuple[str, list[int]]:
         if not m:
             continue
         w, seen = m.group(), m.end()
+        if "@" in w and DOMAIN.match(chars, chars.index("@", m.start())):  # an address of mail
+            continue
         if sum(c.isalpha() for c in w) >= 3 and sum(not c.isalpha() for c in w) == 1 and not re.match(r"[A-Z]{2,3}\d", w):
             new = w.translate(GLYPHS)
             if sum(c.isupper() for c in w) > 1:

@@ -4,8 +4,9 @@ Nodes are capitalised words, labelled person or other. Node potentials come from
 chain edges join words side by side; skip edges join occurrences of the same or a similarly spelled word anywhere in the document,
 so that a clear mention decides unclear ones. Loopy belief propagation runs over all documents of a batch in one graph.
 
-The weights are trained piecewise (Sutton and McCallum) by ``train_persons`` on rulings whose words are labelled by their
-surroundings; they are kept in ``persons_model.json``.
+Features name words only if they are ordinary: context words in small letters, titles and offices, and capitalised words that rulings
+also write in small letters. No name is a feature, so an unseen name is judged like a seen one, by its form and its surroundings.
+The weights are trained piecewise (Sutton and McCallum) by ``train_persons``; they are kept in ``persons_model.json``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ STREETS = frozenset("calle pasaje avenida av avda bv bvd diagonal pje ruta camin
 ORG = frozenset(KINDS) | frozenset(KIND_WORDS)
 #: Words of numbers, headings and formulas that no name holds (fixed values).
 NEVER = frozenset("cuil cuit cul le lc dni cbu cbus expte protocolicese registrese notifiquese anexo punto ii iii iv vi vii viii ix vistos considerando resuelvo sala camara voto vocal copia traslado poder obligaciones primero segundo".split())
+#: Offices whose holders are no private persons (fixed values).
+OFFICES = frozenset(
+    """juez jueza jueces magistrado magistrada magistrados vocal vocales camarista camaristas ministro ministra ministros fiscal fiscales secretario secretaria presidente presidenta defensor defensora
+    prosecretario actuario actuaria gobernador intendente comisario escribano escribana autor autora profesor jurista tratadista""".split()
+)
 FEW = 3
 
 
@@ -97,17 +103,31 @@ def _groups(ns: list[Node]) -> list[list[Node]]:
     return groups
 
 
+def _context(word: str) -> str:
+    """A word around a run as a feature: itself in small letters or if it is a title or office, else only that it is capitalised."""
+    f = fold(word)
+    return f if word[0].islower() or f in TITLES or f in OFFICES else "<X>"
+
+
 def _surroundings(text: str, run: list[Node]) -> list[str]:
     """Features that all words of a run share: the words and marks around it, and what it holds."""
     a, b = run[0].start, run[-1].end
     left = text[max(0, a - 60) : a]
-    lw = [fold(w) for w in WORD.findall(left)[-2:]]
-    right = text[b : b + 50]
-    rw = [fold(w) for w in WORD.findall(right)[:2]]
+    lw = [_context(w) for w in WORD.findall(left)[-3:]]
+    right = text[b : b + 60]
+    rw = [_context(w) for w in WORD.findall(right)[:2]]
     lp = LAST_MARKS.search(left).group().strip()[-1:] if left else "^"
     rp = FIRST_MARKS.match(right).group().strip()[:1]
     folds = {x.fold for x in run}
-    fs = ["bias", f"l={lw[-1] if lw else '^'}|{lp}", f"l2={'_'.join(lw)}|{lp}", f"r={rw[0] if rw else '$'}|{rp}", f"r2={'_'.join(rw)}|{rp}", f"len={min(len(run), 4)}"]
+    l1, r1 = lw[-1] if lw else "^", rw[0] if rw else "$"
+    fs = ["bias", f"l={l1}|{lp}", f"l={l1}", f"r={r1}|{rp}", f"r={r1}", f"lp={lp}|{rp}", f"len={min(len(run), 4)}|{lp}"]
+    fs += [f"m={w}" for w in lw[:-1] if w != "<X>"] + [f"q={w}" for w in rw[1:] if w != "<X>"]
+    if any(w in OFFICES for w in lw) or any(w in OFFICES for w in rw):
+        fs.append("office")
+    if lw and lw[-1] in OFFICES:
+        fs.append("after_office")
+    if lw and lw[-1] in TITLES:
+        fs.append("after_title")
     if folds & ORG:
         fs.append("org")
     if LEGAL.match(right) or folds & {"ltda", "limitada", "anonima"}:
@@ -125,12 +145,15 @@ LAST_MARKS, FIRST_MARKS = re.compile(r"[^\w\s]*\s*$"), re.compile(r"\s*[^\w\s]*"
 def _features(n: Node, k: int, run: list[Node], shared: list[str]) -> list[str]:
     place = "first" if k == 0 else "last" if k == len(run) - 1 else "mid"
     f = n.fold
+    opens = n.start_of_sentence and k == 0
     fs = [
-        *shared, f"shape={n.shape}", f"suf3={f[-3:]}", f"suf4={f[-4:]}", f"w={f}", f"at={place}|{n.shape}", f"twin={n.twin}|{n.shape}|{n.start_of_sentence and k == 0}", f"start={n.start_of_sentence}",
-        f"gap={run[0].gap}|{n.shape}",
+        *shared, f"shape={n.shape}", f"w={f}", f"at={place}|{n.shape}", f"twin={n.twin}|{n.shape}|{opens}", f"start={n.start_of_sentence}",
+        f"gap={run[0].gap}|{n.shape}", f"opens={opens}|{len(run) > 1}|{n.shape}",
     ]
+    if opens and len(run) > 1 and n.shape == "T":  # a verb that opens a sentence before a name: its ending tells
+        fs += [f"verb={f[-2:]}", f"verb={f[-3:]}", f"verb={f[-4:]}"]
     if k:
-        fs.append(f"p={run[k - 1].fold}|{run[k - 1].start_of_sentence}")
+        fs.append(f"p={run[k - 1].shape}|{run[k - 1].fold in GIVEN}|{run[k - 1].start_of_sentence}")
     if f in NICKNAMES or f in GIVEN:
         fs.append("given")
     return fs
@@ -181,7 +204,8 @@ def graph(docs: list[list[Node]], model: Model) -> tuple[np.ndarray, np.ndarray,
 
 
 def beliefs(h: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Log-odds of every node after loopy message passing with potentials that favour equal labels by ``a``."""
+    """Log-odds of every node after loopy message passing with potentials that favour equal labels by ``a``. The number of rounds is
+    fixed, so that a document's result does not depend on what else is in its batch."""
     if not len(i):
         return h
     src, dst, w = np.r_[i, j], np.r_[j, i], np.r_[a, a]
@@ -191,8 +215,6 @@ def beliefs(h: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, rounds:
         total = h + np.bincount(dst, m, len(h))
         x = np.clip(total[src] - m[back], -30, 30)
         new = np.logaddexp(x + w, 0) - np.logaddexp(x, w)
-        if np.abs(new - m).max() < 1e-3:
-            break
         m = damping * m + (1 - damping) * new
     return h + np.bincount(dst, m, len(h))
 
@@ -224,7 +246,7 @@ def _spans(text: str, ns: list[Node], yes: np.ndarray) -> list[tuple[int, int]]:
             n = ns[e + 1]
             if n.gap == "comma":
                 # surname, given names: once only, in one style of capitals
-                if comma or ns[e].shape != n.shape and "I" not in (ns[e].shape, n.shape):
+                if comma or ns[e].shape != n.shape and "I" not in (ns[e].shape, n.shape) and (ns[e].shape, n.shape) != ("U", "T"):
                     break
                 comma = True
             elif n.gap != "blank":
@@ -295,8 +317,10 @@ def labels(text: str, ns: list[Node]) -> list[int]:
     return out
 
 
-def fit(labelled: list[tuple[list[str], int]], edges: dict[str, float], least: int = FEW, epochs: int = 12) -> Model:
-    """Logistic regression of the node labels by AdaGrad; features seen fewer than ``least`` times are left out."""
+def fit(labelled: list[tuple[list[str], int]], edges: dict[str, float], ordinary: frozenset[str], least: int = FEW, epochs: int = 12) -> Model:
+    """Logistic regression of the node labels by AdaGrad; features seen fewer than ``least`` times are left out, and words that are not
+    ``ordinary`` (never written in small letters)."""
+    labelled = [([f for f in fs if f[:2] != "w=" or f[2:] in ordinary], y) for fs, y in labelled]
     count: dict[str, int] = defaultdict(int)
     for fs, _ in labelled:
         for f in fs:
@@ -309,7 +333,7 @@ def fit(labelled: list[tuple[list[str], int]], edges: dict[str, float], least: i
         for k in rng.permutation(len(rows)):
             x, y = rows[k]
             p = 1 / (1 + np.exp(-np.clip(w[x].sum(), -30, 30)))
-            g = (p - y) + 2e-4 * w[x]
+            g = (p - y) + 1e-3 * w[x]
             g2[x] += g * g
             w[x] -= 0.2 * g / np.sqrt(g2[x])
     return Model({f: round(float(w[k]), 3) for f, k in ids.items() if abs(w[k]) >= 0.05}, edges)

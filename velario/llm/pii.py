@@ -21,8 +21,8 @@ from .cleanview import view
 from .common import arrow_rows, spread
 
 AT_SIGN = re.compile(r"@|[(\[]\s?(?:at|arroba)\s?[)\]]|(?<=\s)arroba(?=\s)")
-MAILBOX = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*$")
-DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.|\(dot\)|\[punto\])[A-Za-z0-9\-]+)*?(?:\.|\[punto\])[A-Za-z]{2,}(?![A-Za-z0-9])")
+MAILBOX = re.compile(r"[A-Za-z0-9._%+\-]")
+DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:(?:\.|\(dot\)|\[punto\])[A-Za-z0-9\-]+)*(?:\.|\[punto\])[A-Za-z]{2,}(?![A-Za-z0-9])")
 S = r"[\s.\-]?"
 #: Numbers with their words; the find is group 1.
 ID_FORMS = (
@@ -53,6 +53,7 @@ ADDRESS_FORMS = (
     re.compile(rf"(?<![\w])((?:calle|pasaje|avenida|bulevar|diagonal|camino|av\.|bv\.|pje\.|c/))\s*{STREET_NAME}{HOUSE}"),
     re.compile(rf"(?:domicilio(?:\s+\w+)?\s+(?:en|:)|domiciliad[oa]\s+en|reside\s+en|vivido\s+en|vive\s+en|inmueble\s+de|mudó\s+de)\s*:?\s*({STREET_NAME}{HOUSE})"),
 )
+#: REACH is more than the longest word or phrase before a number has.
 FIGURES, REACH = re.compile(r"\d[\d\s.\-()+]{4,}\d"), 60
 PLACEHOLDERS = {"email": "EMAIL", "phone": "TELEFONO", "id_number": "DOCUMENTO", "address": "DOMICILIO", "name": "PERSONA"}
 
@@ -68,15 +69,22 @@ def structured(text: str) -> list[tuple[str, int, int]]:
         word = m.group() != "@"  # a sign in words may have blanks around it
         a = m.start() - (word and text[m.start() - 1 : m.start()].isspace())
         b = m.end() + (word and text[m.end() : m.end() + 1].isspace())
-        left, domain = MAILBOX.search(text[max(0, a - 80) : a]), DOMAIN.match(text, b)
-        if left and domain:
-            found.append(("email", a - len(left.group()), domain.end()))
+        start, domain = a, DOMAIN.match(text, b)
+        while start and MAILBOX.match(text[start - 1]):
+            start -= 1
+        while start < a and not text[start].isalnum():
+            start += 1
+        if start < a and domain:
+            found.append(("email", start, domain.end()))
     near: list[list[int]] = []  # the surroundings of figures, where alone numbers can be
     for m in FIGURES.finditer(text):
-        if near and m.start() - REACH <= near[-1][1]:
+        a = m.start()
+        while a and text[a - 1] in " \t\n:N°º.":  # what may part a word and its number, however much of it
+            a -= 1
+        if near and a - REACH <= near[-1][1]:
             near[-1][1] = m.end() + 4
         else:
-            near.append([max(0, m.start() - REACH), m.end() + 4])
+            near.append([max(0, a - REACH), m.end() + 4])
     whole = [[0, len(text)]]
     for kind, forms in (("id_number", ID_FORMS), ("phone", PHONE_FORMS), ("address", ADDRESS_FORMS)):
         for form in forms:
