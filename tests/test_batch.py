@@ -76,3 +76,50 @@ def test_command_line(spark, tmp_path, capsys):
     assert "approved" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["other"])
+
+
+@pytest.fixture
+def model():
+    """A chat endpoint that names a party, and gives every mention the role of the plaintiff."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            system, user = (m["content"] for m in asked["messages"])
+            if "partes" in system:
+                said = {"partes": [{"nombre": "Bruno Sosa", "rol": "Testigo"}]}
+            else:
+                said = {"resultados": [{"id": x["id"], "rol": "PARTE_ACTORA", "confianza": 0.9} for x in json.loads(user)["fichas"]]}
+            body = json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1"
+    server.shutdown()
+
+
+def test_model_and_full_mode_on_the_command_line(spark, tmp_path, model):
+    import zipfile
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    text = "DIAZ, ANA c/ Bruno Sosa s/ cobro&#10;Y VISTOS: DIAZ, ANA pidió a Bruno Sosa el pago. Correo a@b.com"
+    with zipfile.ZipFile(tmp_path / "caso.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:body></w:document>')
+    assert cli.main(["lite", str(tmp_path), "--base-url", model]) == 0
+    audit = json.loads((tmp_path / "caso_audit.json").read_text())
+    assert "Bruno Sosa" in {p["nombre"] for p in audit["parties"]}
+    (tmp_path / "caso_anonimizado.docx").unlink()
+    settings = tmp_path / "settings.json"
+    settings.write_text(json.dumps({"base_url": model, "roles": {"TESTIGO": True}}))
+    assert cli.main(["full", str(tmp_path), "--config", str(settings), "--batch-size", "2"]) == 0
+    made = zipfile.ZipFile(tmp_path / "caso_anonimizado.docx").read("word/document.xml").decode()
+    assert "DIAZ" not in made and "[ACTOR_" in made and "[EMAIL_1]" in made
+    assert cli.main(["full", str(tmp_path), "--no-ner", "--dry-run"]) == 0  # nobody answers: every mention is anonymised as unknown

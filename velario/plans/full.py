@@ -26,14 +26,14 @@ def detected(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return d.withColumn("cards", cards.cards(t, F.col("spans"), F.col("zones"))).drop("entities")
 
 
-def full(docs: DataFrame, said: DataFrame, policy: DataFrame, found: DataFrame | None = None) -> DataFrame:
+def full(docs: DataFrame, said: DataFrame, policy: DataFrame, found: DataFrame | None = None, batch: int = predict.BATCH) -> DataFrame:
     """doc_id, n_spans, n_cards, n_clusters, replacements, redacted, issues, success.
 
     said: doc_id, batch_no, raw, error: the answers to ``predict.requests``. Per-document work stays in the row; cards leave it once for
     the join with the answers and the clustering, both on doc_id.
     """
     d = detected(docs, found).persist()  # read by the cards and by the replacement; kept in memory or on disk, made anew if lost
-    rows = predict.classified(cards.explode_cards(d, "doc_id"), said, policy)
+    rows = predict.classified(cards.explode_cards(d, "doc_id"), said, policy, batch)
     clusters = coref.clusters(rows, policy)
     people = coref.replacements(rows, clusters).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("people"))
     n = clusters.groupBy("doc_id").agg(F.count("*").alias("n_clusters"))
