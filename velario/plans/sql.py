@@ -152,6 +152,37 @@ def _letters(x: str) -> str:
     return f"array_to_string(list_transform(list_filter(string_split_regex(trim({x}), '\\s+'), lambda w: w <> ''), lambda w: upper(w[1])), '. ') || '.'"
 
 
+#: Kinds of words of a caption, one letter each, as the engine tells them; the two sides of a versus mark.
+WORD_KIND = r"""CASE WHEN t = chr(10) THEN 'z' WHEN t IN ('c/', 'C/', 'c.', 'C.', 'contra') THEN 'v' WHEN t IN ('de', 'del', 'la', 'las', 'los', 'y', 'e') THEN 'l'
+  WHEN regexp_full_match(t, 'S\.A\.?|S\.R\.L\.?|S\.A\.S\.?') THEN 'f' WHEN regexp_full_match(t, '(S\.A\.?|S\.R\.L\.?|S\.A\.S\.?),') THEN 'g'
+  WHEN regexp_full_match(t, '([A-ZÁÉÍÓÚÑÜ][LETTERS]+|[A-ZÁÉÍÓÚÑÜ]\.)') THEN 'n' WHEN regexp_full_match(t, '([A-ZÁÉÍÓÚÑÜ][LETTERS]+|[A-ZÁÉÍÓÚÑÜ]\.),') THEN 'k' ELSE 'x' END""".replace(
+    "LETTERS", r"\p{L}\p{M}\p{N}_''`´\x{80}-\x{9f}\x{200c}\x{200d}"
+)
+SIDES = "((n[nl]{0,3})?kn[nl]{0,4})v(n[nlf]{0,5}[kg]n[nlf]{0,4}|kn[nlf]{0,4}|n[nlf]{0,6})"
+
+
+def _cleaned(x: str) -> str:
+    ends = "regexp_replace({0}, '^[ ,.;:]+|[ ,.;:]+$', '', 'g')"
+    return ends.format(f"regexp_replace({ends.format(x)}, '(?i)\\s+y(\\s+otr[oa]s?)?$', '')")
+
+
+CAPTION_PARTIES = f"""WITH {DOCS}, h AS (SELECT doc_id, text, substr(text, 1, CASE WHEN len(ps) > 1 THEN length(ps[1]) ELSE least(1500, length(text)) END) AS head
+  FROM (SELECT doc_id, text, string_split_regex(text, {q(BODY)}) AS ps FROM docs WHERE text IS NOT NULL AND text <> '')),
+p AS (SELECT *, regexp_replace(regexp_replace(head, '([ \\t])([cC]/|[cC]\\.)([^\\s])', '\\1\\2 \\3', 'g'), '(^|\\s)([^\\s\\p{{L}}\\p{{N}}•·]+)(\\p{{L}})', '\\1\\2 \\3', 'g') AS parted FROM h),
+w AS (SELECT doc_id, text, head, regexp_extract_all(parted, '\\n|[^\\s\\x{{85}}\\p{{Z}}•·]+|[\\x{{0b}}-\\x{{0d}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]') AS ts FROM p),
+k AS (SELECT *, array_to_string(list_transform(ts, lambda t: {WORD_KIND}), '') AS ks FROM w),
+m AS (SELECT doc_id, text, head, ts, regexp_extract_all(ks, '{SIDES}', 1) AS a, regexp_extract_all(ks, '{SIDES}', 3) AS b, regexp_extract_all(ks, '{SIDES}') AS ms, string_split_regex(ks, '{SIDES}') AS gaps FROM k),
+i AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+pl AS (SELECT *, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS INT) AS s FROM i),
+n AS (SELECT doc_id, text, head, i, 1 AS side, 'PARTE_ACTORA' AS role_hint, {_cleaned("array_to_string(ts[s + 1:s + length(a[i])], ' ')")} AS name FROM pl
+  UNION ALL SELECT doc_id, text, head, i, 2, 'PARTE_DEMANDADA', {_cleaned("array_to_string(ts[s + length(ms[i]) - length(b[i]) + 1:s + length(ms[i])], ' ')")} FROM pl),
+g AS (SELECT *, contains(text, name) AS exact FROM n WHERE length(name) >= 4),
+pieces AS (SELECT *, CASE WHEN exact THEN string_split(text, name) ELSE string_split(lower(head), lower(name)) END AS ps FROM g),
+o AS (SELECT *, unnest(range(1, len(ps))) AS j FROM pieces)
+SELECT doc_id, CAST(list_sum(list_transform(ps[1:j], lambda x: length(x))) + (j - 1) * length(name) AS INT) AS char_start,
+  CAST(list_sum(list_transform(ps[1:j], lambda x: length(x))) + j * length(name) AS INT) AS char_end,
+  substr(text, CAST(list_sum(list_transform(ps[1:j], lambda x: length(x))) + (j - 1) * length(name) + 1 AS BIGINT), length(name)) AS text, role_hint FROM o"""
+
 INITIALS = f"""WITH {PARTIES}, n AS (SELECT party_id, trim(nombre) AS n FROM pa WHERE nombre IS NOT NULL),
 f AS (SELECT *, regexp_extract(upper(n), '(?:^|[ ,.;])(S\\.A\\.C\\.I\\.F\\.|S\\.A\\.C\\.I\\.|S\\.R\\.L\\.|S\\.A\\.S\\.|SACIF|SACI|S\\.A\\.|S\\.C\\.|S\\.H\\.|S\\.E\\.|SRL|SAS|SA|SC|SH|SE)$', 1) AS form FROM n),
 b AS (SELECT *, trim(substr(n, 1, length(n) - length(form))) AS base, trim(string_split(n, ',')[1]) AS surname, trim(regexp_replace(n, '^[^,]*,', '')) AS given, contains(n, ',') AS comma FROM f)
@@ -180,6 +211,12 @@ SELECT doc_id, CAST(s + 1 AS INT) AS char_start, CAST(s + 1 + length(g) AS INT)
         "coref_audit": f"""WITH {MENTIONS} SELECT doc_id, key AS cluster_key, c.role, placeholder, CAST(round_even(confidence, 3) AS DOUBLE) AS confidence, n_mentions AS n_menciones,
   (SELECT arg_min(k.text, k.card_id) FROM keyed k WHERE k.doc_id = c.doc_id AND k.key = c.key) AS sample FROM clusters c""",
         "initials": INITIALS,
+        "caption_parties": CAPTION_PARTIES,
+        "spans_at_points": """WITH b AS (SELECT DISTINCT ON (span_id) doc_id, page, span_id AS ord, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1 FROM pdf_spans),
+p AS (SELECT doc_id, page, ord AS point_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM b WHERE x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL),
+j AS (SELECT p.point_id, round(y1 - y0, 3) AS size, row_number() OVER (PARTITION BY p.point_id ORDER BY abs((y0 + y1) / 2 - y), ord) AS rn FROM p JOIN b USING (doc_id, page)
+  WHERE x BETWEEN x0 - 2 AND x1 + 2 AND y BETWEEN y0 - 2 AND y1 + 2)
+SELECT doc_id, page, p.point_id, coalesce(size, 12.0) AS size, 'Times' AS font FROM p LEFT JOIN (SELECT * FROM j WHERE rn = 1) j USING (point_id)""",
         "parsed_parties": f"WITH {PARTIES} SELECT party_id, trim(nombre) AS nombre, lower(trim(coalesce(rol, 'desconocido'))) AS rol FROM pa WHERE nombre IS NOT NULL AND party_id % 3 < 2",
         "review_queue": f"{QUEUED} SELECT * FROM queue WHERE is_problematic",
         "review_counts": f"""{QUEUED} SELECT count(*) AS "all", CAST(count_if(is_problematic) AS BIGINT) AS problematic, {', '.join(f"CAST(count_if(status = '{x}') AS BIGINT) AS {x}" for x in STATUSES)} FROM queue""",
