@@ -191,6 +191,22 @@ SELECT party_id, CASE WHEN n = '' THEN n WHEN form <> '' AND base = '' THEN n
   WHEN NOT comma THEN {_letters('n')} WHEN given = '' THEN {_letters('surname')} ELSE {_letters('surname')} || ', ' || {_letters('given')} END AS initials FROM b"""
 
 
+def all_spans(single: dict[str, str], more: dict[str, str]) -> str:
+    """CTEs ending in ``kept``: the resolved identifiers, cited authors and cases, and caption parties, resolved once more by source."""
+    return f"""{resolved(single)},
+u AS (SELECT doc_id, s, e, text, type, 'regex' AS source, 100 AS prio, 0 AS d, 0 AS k FROM spans
+  UNION ALL SELECT doc_id, char_start, char_end, text, type, 'structure', 80, 1, 0 FROM ({more["doctrine_authors"]})
+  UNION ALL SELECT doc_id, char_start, char_end, text, type, 'structure', 80, 2, 0 FROM ({more["case_names"]})
+  UNION ALL SELECT doc_id, char_start, char_end, text, 'PER', 'structure', 80, 3, 0 FROM ({more["caption_parties"]})),
+uo AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, -prio, s - e, d) AS rn FROM u),
+again(doc_id, rn, kept) AS (
+  SELECT doc_id, rn, [struct_pack(s := s, e := e, p := prio, rn := rn)] FROM uo WHERE rn = 1
+  UNION ALL SELECT o.doc_id, o.rn, CASE WHEN o.s >= w.kept[-1].e THEN list_append(w.kept, struct_pack(s := o.s, e := o.e, p := o.prio, rn := o.rn))
+    WHEN o.prio > w.kept[-1].p OR o.prio = w.kept[-1].p AND o.e - o.s > w.kept[-1].e - w.kept[-1].s THEN list_append(w.kept[:-2], struct_pack(s := o.s, e := o.e, p := o.prio, rn := o.rn)) ELSE w.kept END
+  FROM again w JOIN uo o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1),
+kept AS (SELECT uo.* FROM (SELECT doc_id, unnest(arg_max(kept, rn)).rn AS rn FROM again GROUP BY doc_id) JOIN uo USING (doc_id, rn))"""
+
+
 def queries() -> dict[str, str]:
     single = plain()
     spans = resolved(single)
@@ -222,6 +238,13 @@ SELECT doc_id, page, p.point_id, coalesce(size, 12.0) AS size, 'Times' AS font F
         "review_counts": f"""{QUEUED} SELECT count(*) AS "all", CAST(count_if(is_problematic) AS BIGINT) AS problematic, {', '.join(f"CAST(count_if(status = '{x}') AS BIGINT) AS {x}" for x in STATUSES)} FROM queue""",
         "identifier_counts_by_type": f"""{resolved(single).replace(DOCS, FIRST_DOCS)} SELECT date_trunc('day', loaded_at) AS window_start, type, count(*) AS n FROM spans JOIN {first} USING (doc_id) WHERE loaded_at IS NOT NULL GROUP BY ALL""",
     }
+    every = all_spans(single, more)
+    more["resolved_spans"] = f"{every} SELECT doc_id, s AS char_start, e AS char_end, text, type, source FROM kept"
+    zones = " UNION ALL ".join(f"SELECT *, {k} AS k FROM ({single[z]})" for k, z in enumerate(("caption_zone", "signature_zone", "jurisprudence_zones", "doctrine_zones")))
+    more["zones_of_spans"] = f"""{every}, z AS ({zones}),
+j AS (SELECT kept.doc_id, kept.s, kept.e, kept.type, z.name, z.default_role, row_number() OVER (PARTITION BY kept.doc_id, kept.rn
+  ORDER BY CASE WHEN z.name LIKE 'CITA%' THEN 0 ELSE 1 END, z.char_end - z.char_start, z.k, z.char_start) AS n FROM kept LEFT JOIN z ON kept.doc_id = z.doc_id AND z.char_start <= kept.s AND kept.s < z.char_end)
+SELECT doc_id, s AS char_start, e AS char_end, type, name AS zone_hint, default_role AS zone_default_role FROM j WHERE n = 1"""
     return single | more | {k: with_planted((single | more)[k]) for k in ("plate_spans", "cbu_spans", "jurisprudence_zones", "case_names")}
 
 
