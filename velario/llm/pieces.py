@@ -1,8 +1,8 @@
 """Problem 7: cutting oversized items at natural boundaries, by content-defined chunking.
 
 A rolling hash over a window of code points marks landmarks, places that depend on the nearby content alone. Between the
-minimum and the maximum size the strongest landmark is taken and snapped to the nearest natural boundary (empty line, sentence
-end, line, clause, blank), so that an edit moves only the cuts next to it. Every piece after the first begins exactly
+minimum and the maximum size the strongest landmark is taken and snapped to the nearest natural boundary of the best kind in that range
+(empty line, sentence end, line, clause, blank: a better kind counts for more than nearness), so that an edit moves only the cuts next to it. Every piece after the first begins exactly
 ``overlap_tokens`` before the end of the piece before it.
 
 Defined results: null text or null limit gives no piece; an empty text gives none; a text within its limit is one piece; an
@@ -87,7 +87,7 @@ def pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
 
     ``limits`` has one row for each profile; it is joined by Catalyst, which broadcasts it below its own size threshold.
     """
-    rows = chunks.select("chunk_id", "profile", "text").dropDuplicates(["chunk_id"]).join(limits.select("profile", "max_tokens", "overlap_tokens").dropDuplicates(["profile"]), "profile")
+    rows = limited(chunks.select("chunk_id", "profile", "text").dropDuplicates(["chunk_id"]), limits)
 
     def run(rows) -> Iterator[tuple]:
         for chunk_id, text, most, overlap in rows:
@@ -96,9 +96,20 @@ def pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
                 for k, (a, b) in enumerate(parts):
                     yield chunk_id, k + 1, len(parts), a, b, tokens(b - a), text[a:b]
 
-    return arrow_rows(rows.select("chunk_id", "text", "max_tokens", "overlap_tokens"), "chunk_id bigint, piece_no int, n_pieces int, char_start int, char_end int, token_count int, text string", run)
+    return arrow_rows(rows, "chunk_id bigint, piece_no int, n_pieces int, char_start int, char_end int, token_count int, text string", run)
+
+
+def limited(chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """chunk_id, text, max_tokens, overlap_tokens of every chunk whose profile has a limit."""
+    return chunks.join(limits.select("profile", "max_tokens", "overlap_tokens").dropDuplicates(["profile"]), "profile").select("chunk_id", "text", "max_tokens", "overlap_tokens")
 
 
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """chunk_id of the chunks that had to be cut."""
-    return pieces(spread(chunks, "chunk_id"), limits).where("piece_no = 1 and n_pieces > 1").select("chunk_id").distinct()
+    """chunk_id of the chunks that had to be cut. Texts stay where the scan puts them; only ids are made distinct."""
+
+    def run(rows) -> Iterator[tuple]:
+        for chunk_id, text, most, overlap in rows:
+            if text and most is not None and len(cut(text, most, overlap or 0)) > 1:
+                yield (chunk_id,)
+
+    return arrow_rows(limited(spread(chunks.select("chunk_id", "profile", "text"), "chunk_id"), limits), "chunk_id bigint", run).distinct()
