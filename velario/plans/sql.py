@@ -238,6 +238,9 @@ SELECT doc_id, page, p.point_id, coalesce(size, 12.0) AS size, 'Times' AS font F
         "review_counts": f"""{QUEUED} SELECT count(*) AS "all", CAST(count_if(is_problematic) AS BIGINT) AS problematic, {', '.join(f"CAST(count_if(status = '{x}') AS BIGINT) AS {x}" for x in STATUSES)} FROM queue""",
         "identifier_counts_by_type": f"""{resolved(single).replace(DOCS, FIRST_DOCS)} SELECT date_trunc('day', loaded_at) AS window_start, type, count(*) AS n FROM spans JOIN {first} USING (doc_id) WHERE loaded_at IS NOT NULL GROUP BY ALL""",
     }
+    # the same detectors over texts in which the addresses of mail are replaced
+    left = resolved(single).replace(DOCS, f"docs AS (SELECT doc_id, redacted AS text FROM ({single['email_redacted']}))")
+    more["regex_leaks"] = f"{left} SELECT doc_id, 'REGEX_LEAK' AS code, 'identifier left: ' || type || ' at ' || s AS message FROM spans"
     every = all_spans(single, more)
     more["resolved_spans"] = f"{every} SELECT doc_id, s AS char_start, e AS char_end, text, type, source FROM kept"
     zones = " UNION ALL ".join(f"SELECT *, {k} AS k FROM ({single[z]})" for k, z in enumerate(("caption_zone", "signature_zone", "jurisprudence_zones", "doctrine_zones")))
