@@ -82,7 +82,7 @@ def test_any_number_of_wrong_readings_is_undone():
 
 
 def test_letters_of_other_languages_stay():
-    for text in ("«АБВГ» дом", "Гёте писал", "Łódź ŻÓŁĆ", "Ωμέγα", "În anul Ăla", "cœur naïve façade"):
+    for text in ("debían rеgulаrsе\xa0en", "dе\xa0postores", "LЕ\xa042312718", "«АБВГ» дом", "Гёте писал", "Łódź ŻÓŁĆ", "Ωμέγα", "În anul Ăla", "cœur naïve façade"):
         assert not encoding.damage(text) and encoding.restore(text) == text
 
 

@@ -23,7 +23,7 @@ from .common import SHARE, arrow_rows, spread
 
 ONE_BYTE = ("cp1252", "cp850", "cp437", "mac_roman")
 #: Readers made for other languages: their garbled sequences are letters of those.
-OTHER_READERS = ("cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r")
+LATIN_READERS, CYRILLIC_READERS = ("cp1250", "cp1254", "iso8859_2", "iso8859_15"), ("cp1251", "koi8_r")
 #: Letters and marks of Spanish and its neighbours that a damaged ruling may have held (fixed values).
 LETTERS = "áéíóúüñÁÉÍÓÚÜÑãõâêôàèìòùçäëïöÃÕÂÊÔÀÈÇÄËÏÖß"
 MARKS = "¡¿ºª°«»·×Ø§£€–—‘’“”…†•"
@@ -47,9 +47,10 @@ def sequences() -> ahocorasick.Automaton:
     latin = [*range(0x80, 0x180), 0x20AC, 0x2122, *range(0x2010, 0x2045)]
     every = [*latin, *range(0x386, 0x3CF), *range(0x400, 0x460), *range(0x2200, 0x2600), *range(0x3001, 0x3100), *range(0x4E00, 0xA000), *range(0xFF01, 0xFF61), *range(0xFB00, 0xFB03)]
     # what a reader can make of a byte may be garbled a second time
-    made = [ord(_read(bytes([b]), e)) for e in (*ONE_BYTE, *OTHER_READERS) for b in range(0x80, 0x100)]
+    made = [ord(_read(bytes([b]), e)) for e in (*ONE_BYTE, *LATIN_READERS) for b in range(0x80, 0x100)]
     a = ahocorasick.Automaton()
-    for readers, codes, beside in (((*ONE_BYTE, "latin-1"), [*every, *made], False), (OTHER_READERS, [*latin, *made], True)):
+    ours = [ord(c) for c in LETTERS]  # of Cyrillic readers only these: they all begin with a letter that is no Latin look-alike
+    for readers, codes, beside in (((*ONE_BYTE, "latin-1"), [*every, *made], False), (LATIN_READERS, [*latin, *made], True), (CYRILLIC_READERS, ours, True)):
         for code in dict.fromkeys(codes):
             for encoding in readers:
                 g = _read(chr(code).encode(), encoding)
