@@ -11,16 +11,39 @@ def audits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def _store(folder: str):
+    """(file system, folder on it): of a URI that names its store (hdfs, s3, gs, file), else of a path all machines share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def binary_files(df: DataFrame, folder: str) -> None:
+    """Rows (name, content) as files of a shared folder or object store, written on the executors.
+
+    A file is written whole under its final name; a task that runs again writes the same content again.
+    """
+
+    def write(rows) -> None:
+        store, root = _store(folder)
+        for r in rows:
+            with store.open_output_stream(f"{root}/{r['name']}") as out:
+                out.write(bytes(r["content"]))
+
+    df.foreachPartition(write)
+
+
 def audit_files(df: DataFrame, folder: str, name: str = "stem") -> None:
-    """One pretty JSON file for each document, written on the executors into a folder that they share."""
+    """One pretty JSON file for each document, written on the executors into a folder or object store that they share."""
 
     def write(rows) -> None:
         import json
-        from pathlib import Path
 
+        store, root = _store(folder)
         for r in rows:
             d = r.asDict(recursive=True)
-            (Path(folder) / f"{d.pop(name)}_audit.json").write_text(json.dumps(d, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+            with store.open_output_stream(f"{root}/{d.pop(name)}_audit.json") as out:
+                out.write(json.dumps(d, ensure_ascii=False, indent=2, default=str).encode("utf-8"))
 
     df.foreachPartition(write)
 
@@ -50,15 +73,3 @@ def batch_log(tally: DataFrame, per_file: DataFrame) -> DataFrame:
 def append_state(df: DataFrame, path: str) -> None:
     """Rows stem, status, note, at are added; readers take the latest of each key."""
     df.write.mode("append").json(path)
-
-
-def binary_files(df: DataFrame, folder: str) -> None:
-    """Rows (name, content) as files of a shared folder, written on the executors."""
-
-    def write(rows) -> None:
-        from pathlib import Path
-
-        for r in rows:
-            (Path(folder) / r["name"]).write_bytes(r["content"])
-
-    df.foreachPartition(write)
