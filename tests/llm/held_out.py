@@ -1,6 +1,10 @@
-"""Sentences written by hand with the names of private persons in them, for a model that never saw these names or phrases.
+"""Sentences written by hand with the names of private persons in them, to measure the model of persons.
 
 [[name]] marks a private person; everything else is none, also judges, cited authors, organisations, towns and streets.
+
+``SENTENCES`` were looked at while features and training phrases were chosen (several training runs, some phrases of the training text are
+close to theirs), so they are a development set and its figures flatter the model. ``FRESH`` were written after the last training and
+measured once: precision 0.80 (12 of 15 finds), recall 0.67 (12 of 18 mentions). No bound is tested on them.
 """
 
 SENTENCES = """
@@ -45,3 +49,26 @@ Los jueces Maqueda y Rosatti votaron en disidencia.
 Notifíquese a la Dirección General de Rentas y al Registro de la Propiedad.
 El comprador [[Emanuel Duarte]] depositó la seña en el Banco Nación, sucursal Tucumán.
 """.strip().split("\n")
+
+FRESH = """
+Nadie discute que [[Melina Aguirre]] cumplía tareas de limpieza en el edificio.
+Se encuentra acreditado el vínculo filial entre [[Ariel Quinteros]] y la niña.
+Don [[Eusebio Carranza]] falleció sin dejar testamento.
+La pericia caligráfica atribuye la rúbrica a [[Viviana Lescano]].
+Cuando [[Maximiliano Funes]] abrió la puerta, el perro escapó.
+Surge del expediente que [[Tamara Bazán]] abonó todas las cuotas.
+La obligación alimentaria pesa sobre [[Orlando Taborda]].
+Tanto [[Griselda Olmos]] como [[Rubén Olmos]] viajaron a Santa Fe.
+El camarista Horacio Rosatti propició revocar la decisión.
+La querella está encabezada por [[Nahuel Brizuela]].
+El Colegio de Abogados de Jujuy informó la matrícula.
+El cheque fue librado por [[Estefanía Godoy]] contra el Banco Patagonia.
+Por su parte, [[Wenceslao Tapia]] guardó silencio.
+La ambulancia trasladó a [[Jimena Arrieta]] al Hospital Rawson.
+Borda y Llambías sostienen la tesis contraria.
+Fue [[Osvaldo Crespi]] quien dio aviso a la compañía.
+La tenencia compartida entre [[Paola Rey]] y [[Lisandro Heredia]] funciona bien.
+El Juzgado de Familia de Chubut declinó su competencia.
+Ninguna culpa cabe imputar a [[Fermín Echagüe]].
+[[Candela Vera]] tenía catorce años al momento del hecho.
+""".strip().split("\n")
